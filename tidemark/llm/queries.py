@@ -13,7 +13,32 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_pack": op4_pack,
+    "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
