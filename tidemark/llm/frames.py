@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does once nothing in the driver refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(df: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
     """_k (unique long) and the columns `keep`. The key is the id where it is unique and never null; otherwise a number
     that is given once to the stored rows, so that repeated rows and null ids stay apart."""

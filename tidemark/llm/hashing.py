@@ -1,4 +1,4 @@
-"""Vectorised hashing of one text inside a task: Rabin-Karp hashes of words and windows, and content-chosen anchors."""
+"""Vectorised hashing of one text inside a task: Rabin-Karp hashes of words and windows, and content-chosen positions."""
 
 from __future__ import annotations
 
@@ -71,12 +71,11 @@ def _slide(op, a: np.ndarray, w: int) -> np.ndarray:
     return op(a[: len(a) - (w - m)], a[w - m :]) if w > m else a
 
 
-def anchors(order: np.ndarray, w: int) -> np.ndarray:
-    """Positions that hold the smallest order number of some w neighbours: any w neighbours hold one, and equal
-    stretches hold equal ones. All of several equal smallest count."""
-    low = _slide(np.minimum, order, w)
-    edge = np.zeros(w - 1, order.dtype)
-    return np.flatnonzero(order == _slide(np.maximum, np.concatenate([edge, low, edge]), w))
+def first_minima(order: np.ndarray, w: int) -> np.ndarray:
+    """For every w neighbours the position of the first smallest order number. It depends on these neighbours only, and
+    never moves back from one start to the next."""
+    key = order.astype(np.uint64) << np.uint64(32) | np.arange(len(order), dtype=np.uint64)
+    return (_slide(np.minimum, key, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Bytes:
@@ -86,8 +85,7 @@ class Bytes:
         self.items = np.frombuffer(raw, np.uint8)
         n = len(raw)
         if n >= gram:
-            wide = np.frombuffer(raw + b"\0" * 8, np.uint8)
-            eight = np.ndarray((n,), np.dtype("<u8"), wide.tobytes(), strides=(1,)).copy()
+            eight = np.ndarray((n,), "<u8", raw + b"\0" * 8, strides=(1,)).copy()
             self.order = ((eight * _BASE) >> np.uint64(32)).astype(np.uint32)[: n - gram + 1]
         else:
             self.order = np.empty(0, np.uint32)
