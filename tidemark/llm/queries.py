@@ -41,6 +41,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("url_key", "timestamp")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring_dedup import digests
 
@@ -60,9 +66,21 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pack": op4_pack,
+    "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_warc": """
+        with p as (
+            select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages
+        ),
+        f as (select html, min(page_id) as first from p where payload_bytes >= 100 group by html)
+        select page_id, payload_bytes, sha256(p.html) as payload_digest,
+               case when f.first <> page_id then 'revisit' else 'response' end as record_type,
+               case when f.first <> page_id then f.first end as refers_to
+        from p left join f on p.html = f.html and p.payload_bytes >= 100
+    """,
+}
