@@ -1,0 +1,76 @@
+"""Native fingerprints: edits and order against plain Python, votes against numbers, search against all pairs."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+ODD = [(5, "one two three four five six"), (3, None), (9, ""), (7, " \t "), (None, "last of all words"), (8, "word"), (6, "é東京" * 50 + " tail"), (2, "many words " * 4000), (1, "one two three four five six")]
+
+
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_edited_texts_and_likeness(spark, sf, which, monkeypatch):
+    from tidemark.llm import fingerprints as fp
+
+    monkeypatch.setattr(fp, "STRETCH", 3 if which == "odd" else 40)
+    if which == "odd":
+        docs = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("fp", F.lit("x")).repartition(4)
+    else:
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    got = {r["doc_id"]: r for r in fp.digests(docs).collect()}
+    assert len(got) == len(rows)
+    same = {}
+    for i, (doc, text) in enumerate(rows):
+        after_id, after = rows[(i + 1) % len(rows)]
+        k = len(text) // 3
+        changed = text[: len(text) - k] + after[:k]
+        r = got[doc]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        own, new = int(r["fingerprint"], 16), int(r["edited_fingerprint"], 16)
+        assert r["near_edited"] == 1 - (own ^ new).bit_count() / 64
+        assert r["near_next"] == 1 - (own ^ int(got[after_id]["fingerprint"], 16)).bit_count() / 64
+        assert same.setdefault(text, own) == own
+        assert same.setdefault(changed, new) == new
+    if which == "documents":
+        assert np.mean([r["near_edited"] for r in got.values()]) > np.mean([r["near_next"] for r in got.values()]) + 0.15
+
+
+def test_votes(spark):
+    from tidemark.llm.fingerprints import fingerprints, terms
+
+    docs = spark.createDataFrame([(1, "Alpha beta alpha beta gamma"), (2, "x"), (3, "")], "k long, text string")
+    got = {r["k"]: r["fp"] for r in fingerprints(docs, ["k"]).collect()}
+    for r in docs.select("k", terms(F.col("text")).alias("t")).collect():
+        want = 0
+        for b in range(64):
+            if 2 * sum(t["weight"] for t in r["t"] if t["hash"] >> b & 1) > sum(t["weight"] for t in r["t"]):
+                want |= 1 << b
+        assert got[r["k"]] % 2**64 == want
+    assert [(len(r["t"])) for r in docs.select(terms(F.col("text")).alias("t")).collect()] == [4, 1, 0]
+
+
+def test_repeated_rows(spark):
+    from tidemark.llm.fingerprints import digests
+
+    docs = spark.createDataFrame([(1, "a b c")] * 3 + [(1, "d e f")], "doc_id long, text string")
+    assert Counter(r["n_chars"] for r in digests(docs).collect()) == Counter({5: 4})
+    assert digests(docs.limit(0)).count() == 0
+
+
+def test_near_finds_all(spark):
+    from tidemark.llm.fingerprints import near
+
+    rng = np.random.default_rng(4)
+    prints = {int(x) for x in rng.integers(-(2**63), 2**63 - 1, 60)}
+    for x in list(prints):
+        for k in (1, 2, 3, 4):
+            y = x
+            for b in rng.choice(63, k, replace=False):
+                y ^= 1 << int(b)
+            prints.add(y)
+    frame = spark.createDataFrame([(x,) for x in prints], "fp long")
+    got = {(r["fp"], r["found"]) for r in near(frame, frame).collect()}
+    assert got == {(a, b) for a in prints for b in prints if ((a ^ b) % 2**64).bit_count() <= 3}

@@ -41,6 +41,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.warc import round_trip
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pack": op4_pack,
+    "op6_fingerprints": op6_fingerprints,
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
