@@ -41,6 +41,13 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hnsw import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "embedding")
+    return nearest(vectors, vectors.where("id % 100 = 0"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.fingerprints import digests
 
@@ -72,6 +79,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pack": op4_pack,
+    "op5_hnsw": op5_hnsw,
     "op6_fingerprints": op6_fingerprints,
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
