@@ -1,4 +1,4 @@
-"""Batch forms of the keyed states: a window over each key in event order takes the place of stored values."""
+"""Keyed states. In batch a window over each key in event order takes the place of stored values; streams keep them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import blank, or_zero, whole_days
+from tidemark.streaming import state as stream
 
 
 def _over(keys: list[str], order: list[str]):
@@ -20,6 +21,8 @@ def first_of_day(rows: DataFrame, keys: list[str], ts: str, order: list[str], wh
     """Rows whose day differs from that of the key's row before, with last_day (null at the first row ever)."""
     if where is not None:
         rows = rows.where(where)
+    if rows.isStreaming:
+        return stream.first_of_day(rows, keys, ts, order)
     rows = rows.withColumn("last_day", F.lag(day(ts)).over(_over(keys, order)))
     return rows.where(~F.col("last_day").eqNullSafe(day(ts)))
 
@@ -45,6 +48,8 @@ def login_rows(rows: DataFrame, user: str = "uid", last_page: str = "last_page_i
 def page_measures(rows: DataFrame, visitor: str, ts: str, order: list[str], last_page: str = "last_page_id", during: str = "during_time") -> DataFrame:
     """Every row with uv (first of the visitor's day), sv (a session starts), pv = 1 and dur."""
     last = F.lag(day(ts)).over(_over([visitor], order))
+    if rows.isStreaming:
+        rows, last = stream.first_of_day(rows, [visitor], ts, order, every=True), F.col("last_day")
     return rows.withColumns(
         {"uv": (~last.eqNullSafe(day(ts))).cast("int"), "sv": blank(last_page).cast("int"), "pv": F.lit(1), "dur": or_zero(during).cast("long")}
     )
@@ -59,8 +64,10 @@ def home_and_detail(rows: DataFrame, visitor: str, ts: str, order: list[str], pa
 def deltas(rows: DataFrame, keys: list[str], measures: list[str], order: list[str], ts: str | None = None, max_gap: int | None = None) -> DataFrame:
     """Each measure less its last value for the same key, so that sums count a repeated record once, as last seen.
 
-    With max_gap (seconds), a record that comes later than that after the one before counts in full.
+    With max_gap (seconds), a record that comes later than that after the one before counts in full. Streams need ts.
     """
+    if rows.isStreaming:
+        return stream.deltas(rows, keys, measures, order, ts, max_gap)
     over = _over(keys, order)
     far = F.lit(False)
     if max_gap is not None:
@@ -73,6 +80,8 @@ def repaired_visitors(rows: DataFrame, visitor: str, ts: str, flag: str, order:
 
     A visitor whose first row is not flagged as new was there the day before at the latest.
     """
+    if rows.isStreaming:
+        return stream.repaired_visitors(rows, visitor, ts, flag, order)
     over = _over([visitor], order)
     new = F.first(flag).over(over).eqNullSafe(F.lit("1"))
     first = F.first(day(ts)).over(over)

@@ -62,8 +62,8 @@ def ordering_users(rows: DataFrame, user: str, ts: str, order: list[str], size:
 
 def province_orders(rows: DataFrame, detail: list[str], ts: str, order: list[str], provinces: DataFrame, province_key: str, name: str, size: str = "10 seconds") -> DataFrame:
     """rows: province_id, order_id, split_total_amount (decimal). Orders are counted once, repeated details summed once."""
-    once = state.deltas(rows, detail, ["split_total_amount"], order)
-    measures = [distinct_count("order_id", "order_count"), total("split_total_amount", "order_amount", "decimal(38,2)")]
+    once = state.deltas(rows, detail, ["split_total_amount"], order, ts)
+    measures = [distinct_count("order_id", "order_count", rows.isStreaming), total("split_total_amount", "order_amount", "decimal(38,2)")]
     sums = tumbling(once, ts, size, measures, ["province_id"], DASHED)
     return enrich(sums, provinces, "province_id", province_key, {name: "province_name"})
 
@@ -73,7 +73,7 @@ SKU_MEASURES = {"original_amount": "split_original_amount", "activity_reduce_amo
 
 def sku_orders(rows: DataFrame, detail: list[str], ts: str, order: list[str], chain: Chain, keys: Sequence[str] = ("sku_id",), size: str = "10 seconds") -> DataFrame:
     """rows: the keys and the four split amounts (decimals). Sums first, then names: fewer rows meet the dimensions."""
-    once = state.deltas(rows, detail, list(SKU_MEASURES.values()), order)
+    once = state.deltas(rows, detail, list(SKU_MEASURES.values()), order, ts)
     sums = tumbling(once, ts, size, [total(c, n, "decimal(38,2)") for n, c in SKU_MEASURES.items()], keys, DASHED)
     return enrich_chain(sums, chain)
 
@@ -81,5 +81,5 @@ def sku_orders(rows: DataFrame, detail: list[str], ts: str, order: list[str], ch
 def refunds_by_brand(rows: DataFrame, ts: str, sku_chain: Chain, keys: Sequence[str], name_chain: Chain = (), size: str = "10 seconds") -> DataFrame:
     """rows: order_id, user_id and the sku; its brand and category come before the window, their names after it."""
     keyed = enrich_chain(rows, sku_chain)
-    sums = tumbling(keyed, ts, size, [distinct_count("order_id", "refund_count")], keys, DASHED)
+    sums = tumbling(keyed, ts, size, [distinct_count("order_id", "refund_count", rows.isStreaming)], keys, DASHED)
     return enrich_chain(sums, name_chain)
