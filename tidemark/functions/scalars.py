@@ -42,7 +42,9 @@ def ms_to_text(ts: str | Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
 
 def text_to_ms(text: str | Column, zone: str = "+08:00") -> Column:
     """Epoch milliseconds of date or date-time text in a fixed zone."""
-    return F.unix_millis(F.to_timestamp(F.concat(col(text), F.lit(zone))))
+    c = col(text)
+    whole = F.when(F.char_length(c) <= 10, F.concat(c, F.lit(" 00:00:00"))).otherwise(c)
+    return F.unix_millis(F.to_timestamp(F.concat(whole, F.lit(zone))))
 
 
 def amount(number: str | Column, price: str | Column) -> Column:
