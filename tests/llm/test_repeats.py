@@ -84,6 +84,8 @@ def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(1, text, "l", "s", 1, "g"), (1, text, "l", "s", 1, "g"), (None, "short", "l", "s", 1, "g"), (2, None, None, None, None, None)], SCHEMA)
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in digests(docs).collect()) == Counter({(1, 40, 40): 2, (None, 1, 0): 1, (2, 0, 0): 1})
     assert Counter(r["n_removed"] for r in byte_digests(docs).collect()) == Counter({0: 3, len(text): 1})
+    late = spark.createDataFrame([(9, text), (None, text), (4, text), (9, "x")], "doc_id long, text string").repartition(3)
+    assert Counter((r["doc_id"], r["n_removed"]) for r in byte_digests(late).collect()) == Counter([(4, 0), (9, len(text)), (None, len(text)), (9, 0)])
     assert digests(docs.limit(0)).count() == byte_digests(docs.limit(0)).count() == 0
 
 

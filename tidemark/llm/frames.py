@@ -37,14 +37,15 @@ def release(spark: SparkSession) -> None:
 
 
 def keyed(df: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
-    """_k (unique long) and the columns `keep`. The key is the id where it is unique and never null; otherwise a number
-    that is given once to the stored rows, so that repeated rows and null ids stay apart."""
+    """_k (unique long) and the columns `keep`. The key is the id where it is unique and never null; otherwise a number in
+    the order of ids (null ones last, rows of one id by a hash) that is given once to the stored rows, so that repeated
+    rows and null ids stay apart."""
     ids = df.select(F.col(id_col).cast("long").alias("_k"))
     odd = ids.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or _k is null").limit(1).count()
     if not odd:
         return df.select(F.col(id_col).cast("long").alias("_k"), *keep)
-    rows = stored(df.select(F.monotonically_increasing_id().alias("_k"), *keep))
-    return rows
+    rows = df.sort(F.asc_nulls_last(F.col(id_col).cast("long")), F.xxhash64(*keep))
+    return stored(rows.select(F.monotonically_increasing_id().alias("_k"), *keep))
 
 
 def many(spark: SparkSession) -> int:

@@ -21,7 +21,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A byte goes if some string of `length` bytes that covers it also starts earlier: in a document of smaller doc_id, or
     in the same one before. Null texts are empty; texts shorter than the length lose nothing. Rows that repeat an id or
-    have none are documents of their own, in the order in which they are stored. Other columns are not looked at; an
+    have none are documents of their own; those of one id follow each other, those without come last. Other columns are not looked at; an
     empty table gives no rows.
     """
 
