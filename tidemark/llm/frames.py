@@ -48,5 +48,12 @@ def keyed(df: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
     return stored(rows.select(F.monotonically_increasing_id().alias("_k"), *keep))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out the rows of a table in fewer files than there are cores, which would leave most of them idle; all other
+    frames stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def many(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

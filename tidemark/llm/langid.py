@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import stored
+from tidemark.llm.frames import spread, stored
 
 UNKNOWN = "und"
 #: Buckets of hashed byte pairs and triples, labelled documents of each language to learn from at most.
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model, gap: float = 0.05) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [x[0] for x in said], "score": [x[1] for x in said], "ambiguous": [x[2] for x in said]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return spread(rows).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import stored
+from tidemark.llm.frames import spread, stored
 
 LENGTH, END = 2048, 1
 #: Documents of a group on average: enough to fill bins well, and few enough for any task.
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return spread(rows).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class Tournament:
