@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import amount, day_of, key
-from tidemark.functions.schemas import CART_ADD
 from tidemark.operators import logs
 from tidemark.operators.cdc import added, became, changes, pick
 from tidemark.operators.joins import fact_rows, interval_join, lookup
@@ -45,7 +44,7 @@ def comments(topic: DataFrame, dic: DataFrame, database: str | None = None) -> D
 
 def cart_adds(topic: DataFrame, database: str | None = None) -> DataFrame:
     rows = changes(topic, "cart_info", None, database).withColumn("sku_num", added("sku_num")).where("sku_num is not null")
-    return rows.select(key("data", "id").alias("id"), key("data", "user_id").alias("user_id"), key("data", "sku_id").alias("sku_id"), "sku_num", "ts").select(*CART_ADD.names)
+    return rows.select(key("data", "id").alias("id"), key("data", "user_id").alias("user_id"), key("data", "sku_id").alias("sku_id"), "sku_num", "ts")
 
 
 def order_details(topic: DataFrame, database: str | None = None, within: str | None = None) -> DataFrame:

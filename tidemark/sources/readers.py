@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark.functions.scalars import event_time
 from tidemark.functions.schemas import CDC, PAGE_LOG
@@ -24,7 +23,7 @@ def strings(spark: SparkSession, where: str, *, stream: bool = False, fmt: str =
     return rows.where("value is not null")
 
 
-def typed_json(rows: DataFrame, schema: StructType, value: str = "value") -> DataFrame:
+def typed_json(rows: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """Columns of the schema from JSON text; records that are no such JSON are skipped."""
     parsed = rows.select(F.from_json(value, schema, {"mode": "PERMISSIVE"}).alias("r"), F.get_json_object(value, "$").alias("whole"))
     return parsed.where("whole is not null and r is not null").select("r.*")
@@ -46,7 +45,7 @@ def page_log(rows: DataFrame, delay: str = "5 seconds") -> DataFrame:
     return with_time(typed_json(rows, PAGE_LOG), 3, delay)
 
 
-def config_changes(rows: DataFrame, schema: StructType) -> DataFrame:
+def config_changes(rows: DataFrame, schema: str) -> DataFrame:
     """op and the configuration's columns from change JSON: the row before for deletions, else the row after."""
     parsed = typed_json(rows, schema)
     return parsed.select("op", F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")).alias("c")).select("op", "c.*")
