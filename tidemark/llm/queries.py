@@ -88,6 +88,32 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_suffix_dedup": """
+        with d as (select doc_id, encode(coalesce(text, '')) as raw from documents),
+        w as (select doc_id, i, md5(hex(raw[i:i + 99])) as h from d, unnest(range(1, octet_length(raw) - 98)) as r(i)),
+        later as (select doc_id, i from (select *, row_number() over (partition by h order by doc_id, i) as nth from w) where nth > 1),
+        jumps as (select *, coalesce(max(i) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) + 100 < i, true) as fresh from later),
+        numbered as (select *, sum(fresh::int) over (partition by doc_id order by i) as run from jumps),
+        runs as (select doc_id, run, min(i) as low, max(i) + 100 as high from numbered group by all),
+        gaps as (
+            select doc_id, high as low, lead(low) over (partition by doc_id order by low) as high from runs
+            union all select doc_id, 1, min(low) from runs group by all
+        ),
+        kept as (select g.doc_id, string_agg(hex(raw[g.low:coalesce(g.high - 1, octet_length(raw))]), '' order by g.low) as h from gaps g join d using (doc_id) where coalesce(g.high - 1, octet_length(raw)) >= g.low group by all),
+        sums as (select doc_id, sum(high - low) as n, count(*) as spans from runs group by all)
+        select d.doc_id, octet_length(raw) as n_bytes, cast(coalesce(s.n, 0) as bigint) as n_removed, cast(coalesce(s.spans, 0) as bigint) as n_spans,
+               sha256(case when s.doc_id is null then raw else unhex(coalesce(k.h, '')) end) as kept_sha256
+        from d left join sums s using (doc_id) left join kept k using (doc_id)
+    """,
+    "op8_substring_dedup": """
+        with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
+        w as (select doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) as h from d, unnest(range(1, len(words) - 33)) as r(i)),
+        again as (select doc_id, i from (select *, count(*) over (partition by h) as n from w) where n > 1),
+        gone as (select distinct doc_id, i + o as i from again, unnest(range(35)) as r(o)),
+        each as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from d),
+        kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by i) as text from each anti join gone using (doc_id, i) group by all)
+        select d.doc_id, len(words) as n_words, len(words) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from d left join kept k using (doc_id)
+    """,
     "op7_warc": """
         with p as (
             select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages
