@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,7 +27,18 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows._stored_at = path
+    return rows
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again, with the shuffle files of finished jobs."""
+    for rows in tables:
+        spark = rows.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(rows._stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
@@ -55,5 +66,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+def exact(id_col: str) -> Column:
+    """An id as text: pandas would turn numbers beside nulls into floats."""
+    return F.col(id_col).cast("long").cast("string")
+
+
+def numbered(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """exact() undone."""
+    return df.withColumn(column, F.col(column).cast("long"))
+
+
 def many(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

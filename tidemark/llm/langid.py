@@ -12,11 +12,12 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import spread, stored
+from tidemark.llm.frames import exact, numbered, spread, stored
 
 UNKNOWN = "und"
 #: Buckets of hashed byte pairs and triples, labelled documents of each language to learn from at most.
@@ -150,8 +151,8 @@ def predict(docs: DataFrame, model: Model, gap: float = 0.05) -> DataFrame:
             said = [model.decode(t, gap) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [x[0] for x in said], "score": [x[1] for x in said], "ambiguous": [x[2] for x in said]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return spread(rows).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    rows = docs.select(exact("doc_id").alias("doc_id"), held_out().alias("held_out"), "text")
+    return numbered(spread(rows).mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double, ambiguous boolean"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -168,9 +169,9 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language can be told: not `und`, and not both ambiguous and of a score below `least`."""
     model = fit(docs.where(~held_out()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            said = [model.decode(t, 0.05) for t in pdf["text"]]
-            yield pdf[[x[0] != UNKNOWN and not (x[2] and x[1] < least) for x in said]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [model.decode(t, 0.05) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([x[0] != UNKNOWN and not (x[2] and x[1] < least) for x in said], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

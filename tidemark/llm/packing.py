@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import spread, stored
+from tidemark.llm.frames import exact, numbered, spread, stored
 
 LENGTH, END = 2048, 1
 #: Documents of a group on average: enough to fill bins well, and few enough for any task.
@@ -95,8 +95,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
                 out += [(doc_id, at, min(length, n - at), zlib.crc32(raw[4 * at : 4 * (at + length)]), n) for at in range(0, n, length)]
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return spread(rows).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = docs.select(exact("doc_id").alias("doc_id"), "text")
+    return spread(rows).mapInPandas(run, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class Tournament:
@@ -151,12 +151,12 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group:
     drawn = rest.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "ids_crc32"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_tokens", "ids_crc32", "start"], kind="stable").reset_index(drop=True)
         put = first_fit_decreasing(pdf["length"].tolist(), length)
         g = int(pdf["g"].iloc[0])
         return pdf.drop(columns="g").assign(sequence_id=[g << 32 | b for b, _ in put], offset=[o for _, o in put])
 
-    kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    kind = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     filled = drawn.groupBy("g").applyInPandas(fill, kind)
     alone = full.withColumn("sequence_id", F.lit(1 << 62).bitwiseOR(F.monotonically_increasing_id())).withColumn("offset", F.lit(0).cast("long"))
-    return filled.unionByName(alone)
+    return numbered(filled.unionByName(alone))

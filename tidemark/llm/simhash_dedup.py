@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import many, spread, stored
+from tidemark.llm.frames import exact, many, numbered, spread, stored
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at once, a bound on memory for very long texts.
@@ -53,8 +53,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [fingerprint(t if isinstance(t, str) else None, shingle) for t in pdf["text"]]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return spread(rows).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(exact(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return numbered(spread(rows).mapInPandas(run, "doc_id string, fp long"))
 
 
 def masks(radius: int) -> list[int]:

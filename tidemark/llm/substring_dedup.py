@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import keyed
+from tidemark.llm.frames import exact, keyed, numbered
 from tidemark.llm.hashing import Words
 from tidemark.llm.repeats import Search, apply_removals
 
@@ -40,9 +40,9 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         kept, n = _keep(text, runs)
         return doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return apply_removals(keyed(rows, "doc_id", ["doc_id", "text"]), _search(window), ["doc_id"], result, kind)
+    rows = docs.select(exact("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = "doc_id string, n_words long, n_removed long, kept_sha256 string"
+    return numbered(apply_removals(keyed(rows, "doc_id", ["doc_id", "text"]), _search(window), ["doc_id"], result, kind))
 
 
 def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -54,7 +54,7 @@ def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def result(doc_id, lang, source, text, runs):
         return doc_id, b" ".join(_keep(text, runs)[0]).decode(), lang, source
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
-    kind = "doc_id long, text string, lang string, source string"
+    rows = docs.select(exact("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    kind = "doc_id string, text string, lang string, source string"
     columns = ["doc_id", "lang", "source"]
-    return apply_removals(keyed(rows, "doc_id", [*columns, "text"]), _search(window), columns, result, kind)
+    return numbered(apply_removals(keyed(rows, "doc_id", [*columns, "text"]), _search(window), columns, result, kind))

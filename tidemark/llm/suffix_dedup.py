@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import keyed
+from tidemark.llm.frames import exact, keyed, numbered
 from tidemark.llm.hashing import Bytes
 from tidemark.llm.repeats import Search, apply_removals
 
@@ -33,7 +33,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kept.update(raw[at:])
         return doc_id, len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    rows = docs.select(exact("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     search = Search(Bytes, length, max(8, min(GRAM, length)), first_stays=True)
-    return apply_removals(keyed(rows, "doc_id", ["doc_id", "text"]), search, ["doc_id"], result, kind)
+    return numbered(apply_removals(keyed(rows, "doc_id", ["doc_id", "text"]), search, ["doc_id"], result, kind))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import spread
+from tidemark.llm.frames import exact, numbered, spread
 
 #: Distinct words whose counts a task remembers, a bound on its memory.
 _REMEMBERED = 300_000
@@ -115,8 +115,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             words = [_words(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [len(w) for w in words], "n_tokens": [sum(map(lengths.__getitem__, w)) for w in words]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return spread(rows).mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    rows = docs.select(exact(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return numbered(spread(rows).mapInPandas(run, "doc_id string, n_words long, n_tokens long"))
 
 
 def _words(text: str | None) -> list[bytes]:
