@@ -165,7 +165,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs.where(~held_out())))
 
 
-def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs whose language can be told: not `und`, and not both ambiguous and of a score below `least`."""
     model = fit(docs.where(~held_out()))
 
