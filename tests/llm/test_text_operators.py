@@ -239,3 +239,19 @@ def test_token_counts(documents, odd):
                 want[r["doc_id"], len(words), sum(greedy(b" " + w, pieces, pieces) for w in words if len(w) < 200)] += 1
         got = Counter(tuple(r) for r in token_counts(docs, path).collect())
         assert all(got[k] == n for k, n in want.items() if k[0] not in (8, 9))
+
+
+def test_large_ids_beside_null_ones(spark):
+    from tidemark.llm.byte_bpe import encode_decode
+    from tidemark.llm.langid import accepted, identify
+    from tidemark.llm.packing import pack
+    from tidemark.llm.simhash_dedup import near_duplicates
+    from tidemark.llm.substring_dedup import digests
+    from tidemark.llm.suffix_dedup import digests as byte_digests
+    from tidemark.llm.token_counts import token_counts
+
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "some words of text", "en", "s", None), (None, "other words", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for frame in (encode_decode(docs, path, public_tokenizers.PATTERN), identify(docs), accepted(docs), pack(docs), near_duplicates(docs), digests(docs), byte_digests(docs), token_counts(docs, path)):
+        assert {r["doc_id"] for r in frame.collect()} == {big, None}, frame.columns

@@ -16,8 +16,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.frames import exact, numbered, spread
+
 #: Distinct words and stretches that a task remembers, a bound on its memory; words of one recursive query.
-_KNOWN, _REMEMBERED, _WORDS = 500_000, 150_000, 40_000
+_KNOWN, _REMEMBERED, _WORDS = 500_000, 150_000, 10_000
 #: Two white-space characters in a row or one at an end, by any reading of white space: such texts are cut by the pattern.
 _LOOSE = regex.compile(r"[\s\x1c-\x1f\x85]{2}|^[\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85]$")
 
@@ -28,28 +30,33 @@ from (select id, token, unnest(range(1, octet_length(token))) as cut from vocabu
 join vocabulary l on l.token = t.token[1:t.cut] join vocabulary r on r.token = t.token[t.cut + 1:]
 """
 
-#: spot: word number and byte position in one number. Each round contracts one pair of each word.
+#: A row a token: its bytes [spot, stop) in its word, its id, that of the token after it, and what the two merge to. Each
+#: round contracts one pair of each word: the left token goes, the right one takes its place, and the token before sees it.
 _ENCODE = """
-with recursive tokens(spot, stop, id, round) as (
-    select (w.word << 32) + p.pos, (w.word << 32) + p.pos + 1, v.id, 0
-    from words w, lateral (select unnest(range(0, octet_length(w.raw))) as pos) p
-    join vocabulary v on v.token = w.raw[p.pos + 1:p.pos + 1]
+with recursive tokens(word, spot, stop, id, after, merged, round) as (
+    select word, spot, spot + 1, id, after, m.merged, 0
+    from (
+        select w.word, p.spot, v.id, lead(v.id) over (partition by w.word order by p.spot) as after
+        from words w, lateral (select unnest(range(0, octet_length(w.raw))) as spot) p
+        join vocabulary v on v.token = w.raw[p.spot + 1:p.spot + 1]
+    ) left join merges m on m.pair = id * 65536 + after
     union all
-    select t.spot, case when t.spot = b.spot then b.stop else t.stop end, case when t.spot = b.spot then b.merged else t.id end, t.round + 1
-    from tokens t
-    join (
-        select spot >> 32 as word, min(merged) as merged, arg_min(spot, first) as spot, arg_min(mid, first) as mid, arg_min(stop, first) as stop
-        from (
-            select l.spot, r.spot as mid, r.stop, m.merged, (m.merged << 32) + (l.spot & 4294967295) as first
-            from tokens l join tokens r on r.spot = l.stop join merges m on m.pair = l.id * 65536 + r.id
-        )
-        group by 1
-    ) b on b.word = t.spot >> 32 and t.spot <> b.mid
+    select x.word, x.spot, x.stop, x.id, x.after, m.merged, x.round
+    from (
+        select t.word, t.stop, t.round + 1 as round, case when t.spot = b.mid then b.first & 4294967295 else t.spot end as spot,
+               case when t.spot = b.mid then b.first >> 32 else t.id end as id,
+               case when t.stop = b.first & 4294967295 then b.first >> 32 else t.after end as after
+        from tokens t
+        join (
+            select word, min((merged << 32) + spot) as first, arg_min(stop, (merged << 32) + spot) as mid
+            from tokens where merged is not null group by word
+        ) b on b.word = t.word and t.spot <> b.first & 4294967295
+    ) x left join merges m on m.pair = x.id * 65536 + x.after
 ),
-ended as (select spot >> 32 as word, max(round) as round from tokens group by 1)
-select t.spot >> 32 as word, string_agg(cast(t.id as varchar), ',' order by t.spot) as ids, string_agg(hex(v.token), '' order by t.spot) as bytes
-from tokens t join ended e on e.word = t.spot >> 32 and e.round = t.round join vocabulary v using (id)
-group by 1
+ended as (select word, max(round) as round from tokens group by word)
+select t.word, string_agg(cast(t.id as varchar), ',' order by t.spot) as ids, string_agg(hex(v.token), '' order by t.spot) as bytes
+from tokens t join ended using (word, round) join vocabulary v using (id)
+group by t.word
 """
 
 
@@ -145,5 +152,5 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
             n, ids, raw = zip(*out, strict=True) if out else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": raw})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(exact(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return numbered(spread(rows).mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))
