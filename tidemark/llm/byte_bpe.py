@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import exact, numbered, spread
 
 #: Distinct words and stretches that a task remembers, a bound on its memory; words of one recursive query.
-_KNOWN, _REMEMBERED, _WORDS = 500_000, 150_000, 10_000
+_KNOWN, _REMEMBERED, _WORDS = 800_000, 300_000, 10_000
 #: Two white-space characters in a row or one at an end, by any reading of white space: such texts are cut by the pattern.
 _LOOSE = regex.compile(r"[\s\x1c-\x1f\x85]{2}|^[\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85]$")
 
