@@ -81,14 +81,18 @@ def first_minima(order: np.ndarray, w: int) -> np.ndarray:
 class Bytes:
     """A text as a sequence of bytes."""
 
-    def __init__(self, raw: bytes, gram: int):
-        self.items = np.frombuffer(raw, np.uint8)
-        n = len(raw)
-        if n >= gram:
-            eight = np.ndarray((n,), "<u8", raw + b"\0" * 8, strides=(1,)).copy()
-            self.order = ((eight * _BASE) >> np.uint64(32)).astype(np.uint32)[: n - gram + 1]
-        else:
-            self.order = np.empty(0, np.uint32)
+    def __init__(self, raw: bytes):
+        self._raw, self.items = raw, np.frombuffer(raw, np.uint8)
+
+    @staticmethod
+    def count(raw: bytes) -> int:
+        return len(raw)
+
+    def order(self, gram: int) -> np.ndarray:
+        """A hash for each place where a gram starts, of its first eight bytes."""
+        n = len(self._raw)
+        eight = np.ndarray((n,), "<u8", self._raw + b"\0" * 8, strides=(1,))[: n - gram + 1].copy()
+        return ((eight * _BASE) >> np.uint64(32)).astype(np.uint32)
 
     def gather(self, starts: np.ndarray, length: int) -> np.ndarray:
         whole = -(-length // 8) * 8
@@ -100,16 +104,20 @@ class Bytes:
 class Words:
     """A text as a sequence of words, each known by its hash."""
 
-    def __init__(self, raw: bytes, gram: int):
+    def __init__(self, raw: bytes):
         self.items = word_hashes(raw)
+
+    @staticmethod
+    def count(raw: bytes) -> int:
+        return len(raw.split())
+
+    def order(self, gram: int) -> np.ndarray:
+        """A hash for each place where a gram starts, of all its words."""
         n = len(self.items) - gram + 1
-        if n > 0:
-            h = self.items[: n].copy()
-            for i in range(1, gram):
-                h = h * _BASE + self.items[i : n + i]
-            self.order = (mix(h) >> np.uint64(32)).astype(np.uint32)
-        else:
-            self.order = np.empty(0, np.uint32)
+        h = self.items[:n].copy()
+        for i in range(1, gram):
+            h = h * _BASE + self.items[i : n + i]
+        return (mix(h) >> np.uint64(32)).astype(np.uint32)
 
     def gather(self, starts: np.ndarray, length: int) -> np.ndarray:
         return np.lib.stride_tricks.sliding_window_view(self.items, length)[starts]

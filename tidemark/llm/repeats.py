@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import many, release, stored
+from tidemark.llm.frames import discard, many, release, stored
 from tidemark.llm.hashing import Bytes, Words, first_minima, window_hashes
 
 
@@ -39,10 +39,10 @@ class Search:
 
     def blocks(self, text: str) -> tuple[Bytes | Words, np.ndarray, np.ndarray, np.ndarray] | None:
         """The sequence and, for each block, its gram's position, first and last start; None without a window."""
-        seq = self.unit(text.encode(), self.gram)
+        seq = self.unit(text.encode())
         if len(seq.items) < self.window:
             return None
-        chosen = first_minima(seq.order, self.window - self.gram + 1)
+        chosen = first_minima(seq.order(self.gram), self.window - self.gram + 1)
         edge = np.flatnonzero(chosen[1:] != chosen[:-1]) + 1
         low = np.concatenate([[0], edge])
         return seq, chosen[low], low, np.append(edge - 1, len(chosen) - 1)
@@ -109,7 +109,7 @@ def _window_rows(texts: DataFrame, search: Search) -> DataFrame:
 
     def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
         for k, text, parts in zip(pdf["_k"], pdf["text"], pdf["parts"], strict=True):
-            seq = search.unit(text.encode(), search.gram)
+            seq = search.unit(text.encode())
             starts = np.concatenate([np.arange(p["start"], p["start"] + p["size"] + 1) for p in parts])
             for at in range(0, len(starts), _PART):
                 part = starts[at : at + _PART]
@@ -144,9 +144,9 @@ def repeated(texts: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
     release(spark)
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("gram")
     marked = stored(grams.join(often, "gram").groupBy("_k").agg(F.collect_list("no").alias("no")))
-    release(spark)
+    discard(grams)
     rows = stored(_block_rows(texts.join(marked, "_k"), search))
-    release(spark)
+    discard(marked)
     block = ["gram", "one", "two", "size"]
     kinds = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("of"), F.min(F.struct("_k", "start")).alias("low"))
     kinds = stored(kinds)
@@ -157,7 +157,7 @@ def repeated(texts: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
     gone = stored(gone.select("_k", "start", "size"))
     parts = kinds.join(mixed, "gram").select("low._k", F.struct("low.start", "size").alias("part"))
     pool = stored(parts.groupBy("_k").agg(F.collect_list("part").alias("parts")))
-    release(spark)
+    discard(rows, kinds)
     rows = _window_rows(texts.join(pool, "_k"), search)
     same = Window.partitionBy("one", "two")
     if search.first_stays:
@@ -165,7 +165,7 @@ def repeated(texts: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
     else:
         rows = rows.withColumn("yes", F.count(F.lit(1)).over(same) > 1)
     last = stored(rows.where("yes").select("_k", "start", F.lit(0).alias("size")))
-    release(spark)
+    discard(pool)
     return gone.unionByName(last), twins
 
 
@@ -195,7 +195,7 @@ def apply_removals(docs: DataFrame, search: Search, columns: list[str], result:
             out = []
             for row in pdf.itertuples(index=False):
                 text, parts = row.text, row.parts
-                n = len(search.unit(text.encode(), search.gram).items) if row.whole is True or parts is not None else 0
+                n = search.unit.count(text.encode()) if row.whole is True or parts is not None else 0
                 if row.whole is True:
                     runs = np.array([[0, n]] if n >= search.window else np.empty((0, 2), int))
                 elif parts is not None:
