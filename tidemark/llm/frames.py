@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,10 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs, which it does once nothing in the driver refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works beside us, and what it unlinks may free more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def keyed(df: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
