@@ -37,15 +37,18 @@ class Ids(dict):
     """Lower-case word without white space -> its ids as little-endian unsigned 32-bit numbers.
 
     Texts of Latin-1 characters are in normal form already and split at white space; each distinct word then goes to the
-    tokenizer's model once. All other texts go to the tokenizer whole.
+    tokenizer's model once. All other texts go to the tokenizer whole, and with `added` also those that hold an added
+    token like <|endoftext|>, which is then that token, as the tokenizer has it by default; else it is text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
+        self._whole.encode_special_tokens = not added
+        literals = [t.content.lower() for t in self._whole.get_added_tokens_decoder().values()] if added else []
+        self._added = re.compile("|".join(map(re.escape, literals))) if literals else None
         self._model = self._whole.model
         self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self._pieces: dict[str, bytes] = {}
@@ -72,21 +75,22 @@ class Ids(dict):
             plain = not _UNSURE.search(text.encode("latin-1"))
         except UnicodeEncodeError:
             plain = False
-        if plain:
-            return b"".join(map(self.__getitem__, text.lower().split()))
+        low = text.lower() if plain else ""
+        if plain and not (self._added and self._added.search(low)):
+            return b"".join(map(self.__getitem__, low.split()))
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_loaded: dict[str, Ids] = {}
+_loaded: dict[tuple[str, bool], Ids] = {}
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and the end id, cut at every `length` ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _loaded:
-            _loaded[path] = Ids(path)
-        ids, last = _loaded[path], np.array([end], "<u4").tobytes()
+        if (path, added) not in _loaded:
+            _loaded[path, added] = Ids(path, added)
+        ids, last = _loaded[path, added], np.array([end], "<u4").tobytes()
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -134,17 +138,18 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group: int = GROUP, seed: int = 7) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group: int = GROUP, seed: int = 7, added: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row a piece.
 
     A null text counts as empty, so that its document is the end id alone. Null ids and repeated rows are packed like
-    others. Groups are drawn at random by the place of a row in the stored table, so no key can fill one. Other columns are not looked at; an empty table gives no rows.
+    others. Groups are drawn at random by the place of a row in the stored table, so no key can fill one. With
+    `added`, as the queries have it, added tokens in a text are tokens (see Ids). Other columns are not looked at; an empty table gives no rows.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    cut = stored(pieces(docs, path, length))
+    cut = stored(pieces(docs, path, length, added=added))
     full = cut.where(F.col("length") == length)
     rest = cut.where(F.col("length") < length)
     groups = max(1, -(-rest.count() // group))

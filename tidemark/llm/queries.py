@@ -38,7 +38,7 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tidemark.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), added=True)
 
 
 def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
