@@ -4,6 +4,27 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+
+
+WORDS = {
+    "en": "the of and to in that was his with for they have this from",
+    "de": "der die und nicht ein sich auch werden haben nach wird bei",
+    "fr": "les une pour dans qui sur pas avec plus sont cette mais nous",
+    "es": "los las una para con por como pero sus este entre cuando muy",
+}
+OTHER = ["αυτό είναι ένα κείμενο χωρίς γνωστή γλώσσα και πολλά γράμματα", "это текст на языке которого никто не учил", "zxqj kvvw qqzx xjkq wwzq vkxj jqqz kzzx"]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_unlearned_language_is_rejected(spark, n):
+    from tidemark.llm.langid import accepted
+
+    rng = np.random.default_rng(n)
+    rows = [(lang, " ".join(rng.choice(WORDS[lang].split(), 40 * (k + 1)))) for k, lang in enumerate(list(WORDS)[:n]) for _ in range(40)]
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(rows)] + [(1000 + i, t, None) for i, t in enumerate(OTHER)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in accepted(docs).collect()} == {i for i, _, lang in rows if lang}
 
 
 def test_added_tokens(spark, tmp_path):

@@ -72,6 +72,8 @@ class Model:
             on, off = share[column > 0].sum(0), share[column < 0].sum(0) if (column < 0).any() else np.ones(share.shape[1])
             weights.append(np.log(on / on.sum()) - np.log(off / off.sum()))
         self.weights = np.array(weights, np.float32).T.copy() if langs else np.zeros((BUCKETS, 1), np.float32)
+        each = share / share.sum(1, keepdims=True)
+        self.known = np.log(each.max(0) * BUCKETS).astype(np.float32)[:, None] if langs else np.zeros((BUCKETS, 1), np.float32)
         self.trust = np.full(self.code.shape, 1 / self.code.shape[1])
 
     def weigh(self, right: np.ndarray) -> None:
@@ -91,6 +93,10 @@ class Model:
         second = np.delete(loss, best)
         return self.langs[best], score, bool(len(second) and second.min() - loss[best] < gap)
 
+    def strange(self, text: str) -> bool:
+        """Whether no learned language makes the text's n-grams likelier than buckets drawn at random."""
+        return margins(text, self.known)[0] < 0
+
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -165,13 +171,18 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs.where(~held_out())))
 
 
-def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose language can be told: not `und`, and not both ambiguous and of a score below `least`."""
+def accepted(docs: DataFrame, least: float = 1.2) -> DataFrame:
+    """The rows of docs whose language can be told: not `und`, not strange() to all learned languages, and not both
+    ambiguous and of a score below `least` times the score of a guess."""
     model = fit(docs.where(~held_out()))
+    least /= max(1, len(model.langs))
+
+    def stays(text: str | None) -> bool:
+        lang, score, ambiguous = model.decode(text, 0.05)
+        return lang != UNKNOWN and not (ambiguous and score < least) and not model.strange(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [model.decode(t, 0.05) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([x[0] != UNKNOWN and not (x[2] and x[1] < least) for x in said], pa.bool_()))
+            yield batch.filter(pa.array([stays(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
