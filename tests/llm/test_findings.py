@@ -1,11 +1,12 @@
-"""Cases that a review found."""
+"""Cases that a review found: unlearned languages, added tokens, frequent windows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
-
+from test_repeats import plain, words
 
 WORDS = {
     "en": "the of and to in that was his with for they have this from",
@@ -40,3 +41,24 @@ def test_added_tokens(spark, tmp_path):
     want = {i: zlib.crc32(np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in enumerate(texts)}
     for rows in (op4_pack(spark, str(tmp_path)), pack_stage(spark, docs, "")):
         assert {r["doc_id"]: r["ids_crc32"] for r in rows.collect()} == want
+
+
+@pytest.mark.parametrize("first_stays", [False, True])
+def test_frequent_passage_with_other_surroundings(spark, first_stays, monkeypatch):
+    """No window function deals rows by a window's hash, where one task would meet all rows of a frequent one."""
+    from tidemark.llm import repeats
+    from tidemark.llm.hashing import Words
+    from tidemark.llm.repeats import Search, covered, repeated
+
+    passage = " ".join(f"p{i}" for i in range(45))
+    texts = [f"{' '.join(f'a{k}x{i}' for i in range(9))} {passage} {' '.join(f'b{k}x{i}' for i in range(9))}" for k in range(40)]
+    plans, parts, put = [], {}, repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(df))
+    found, _ = repeated(spark.createDataFrame(list(enumerate(texts)), "_k long, text string"), Search(Words, 35, 8, first_stays))
+    assert len(plans) > 5 and "Window [" not in "".join(plans)
+    for r in found.collect():
+        parts.setdefault(r["_k"], []).append((r["start"], r["size"]))
+    for k, (x, gone) in enumerate(plain(texts, words, 35, first_stays)):
+        mine = np.array(parts.get(k, np.empty((0, 2), int)))
+        runs = covered(mine[:, 0], mine[:, 1], 35, len(x))
+        assert Counter(np.flatnonzero(gone).tolist()) == Counter(i for a, b in runs.tolist() for i in range(a, b))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import discard, many, release, stored
@@ -134,8 +134,8 @@ def repeated(texts: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
     """Of texts (_k unique, text not null): the stretches of starts at which repeated windows begin, as stored rows
     (_k, start, size) of texts that occur once or first, and copies() of the texts.
 
-    Grams and blocks are counted with partial sums and joined back, so that Spark may split a frequent one. Only one of
-    equal blocks reaches the last round, where a window's rows are at most one for each different surrounding of it.
+    Grams, blocks and windows are counted with partial sums and joined back, so that Spark may split a frequent one. Only
+    one of equal blocks reaches the last round.
     """
     spark = texts.sparkSession
     twins = stored(copies(texts))
@@ -159,12 +159,13 @@ def repeated(texts: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
     pool = stored(parts.groupBy("_k").agg(F.collect_list("part").alias("parts")))
     discard(rows, kinds)
     rows = _window_rows(texts.join(pool, "_k"), search)
-    same = Window.partitionBy("one", "two")
+    rows = stored(rows)
+    same = rows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("of"), F.min(F.struct("_k", "start")).alias("low"))
+    last = rows.join(same.where("of > 1"), ["one", "two"])
     if search.first_stays:
-        rows = rows.withColumn("yes", F.row_number().over(same.orderBy("_k", "start")) > 1)
-    else:
-        rows = rows.withColumn("yes", F.count(F.lit(1)).over(same) > 1)
-    last = stored(rows.where("yes").select("_k", "start", F.lit(0).alias("size")))
+        last = last.where("_k <> low._k or start <> low.start")
+    last = stored(last.select("_k", "start", F.lit(0).alias("size")))
+    discard(rows)
     discard(pool)
     return gone.unionByName(last), twins
 
