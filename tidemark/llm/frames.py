@@ -33,6 +33,17 @@ def stored(df: DataFrame) -> DataFrame:
     return rows
 
 
+def placed(df: DataFrame, column: str) -> DataFrame:
+    """stored(), dealt by a column into as many buckets as there are shuffle partitions, so that joins on it need not move
+    these rows. The table's name leaves the catalog at once, its files stay in the shared folder."""
+    spark = df.sparkSession
+    name = f"rows_{uuid.uuid4().hex}"
+    df.write.bucketBy(many(spark), column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return rows
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again, with the shuffle files of finished jobs."""
     for rows in tables:

@@ -1,4 +1,4 @@
-"""Vectorised hashing of one text inside a task: Rabin-Karp hashes of words and windows, and content-chosen positions."""
+"""Vectorised hashing inside a task: words, Rabin-Karp hashes of windows, ranks of doubled length, content-chosen positions."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE)] = True
 _WORD_BYTE = np.where(_IS_SPACE, np.uint64(0), _BYTE)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Multipliers of the two independent hashes that identify a window.
-_FIRST, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _SEGMENT = 1 << 20
 
 
@@ -25,41 +23,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, _BASE, np.uint64))])
-    return _POWERS
+class Powers:
+    """Powers of an odd base modulo 2**64, and of its inverse."""
 
+    def __init__(self, base: int):
+        self._bases = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self._known = [np.ones(1, np.uint64)] * 2
 
-_POWERS = np.ones(1, np.uint64)
+    def __call__(self, n: int, inverse: bool = False) -> np.ndarray:
+        if len(self._known[inverse]) < n:
+            self._known[inverse] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, self._bases[inverse], np.uint64))])
+        return self._known[inverse][:n]
 
 
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a text."""
-    space = np.concatenate([[True], _IS_SPACE[np.frombuffer(raw, np.uint8)], [True]])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    return edge[::2], edge[1::2]
+_WORD = Powers(int(_BASE))
+#: The two independent rolling hashes of windows.
+_FIRST, _SECOND = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """One 64-bit polynomial hash a word. Long texts are read in segments that end between words."""
-    out, at = [], 0
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit polynomial hash a word, and where the words start. Long texts are read in segments that end between words."""
+    out, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(raw):
         to = at + _SEGMENT
         while to < len(raw) and raw[to] not in SPACE:
             to += 1
-        part = raw[at:to]
+        buf = np.frombuffer(raw[at:to], np.uint8)
+        space = _IS_SPACE[buf]
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if len(starts):
+            places.append(starts + at)
+            buf, starts = buf[starts[0] :], starts - starts[0]
+            width = np.diff(np.append(starts, len(buf)))
+            offset = np.arange(len(buf)) - np.repeat(starts, width)
+            out.append(mix(np.add.reduceat(_WORD_BYTE[buf] * _WORD(int(width.max()) + 1)[offset], starts)))
         at = to
-        starts, ends = word_spans(part)
-        if len(starts) == 0:
-            continue
-        buf = np.frombuffer(part, np.uint8)[starts[0] :]
-        starts = starts - starts[0]
-        width = np.diff(np.append(starts, len(buf)))
-        offset = np.arange(len(buf)) - np.repeat(starts, width)
-        out.append(mix(np.add.reduceat(_WORD_BYTE[buf] * _powers(int(width.max()) + 1)[offset], starts)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return np.concatenate(out), np.concatenate(places)
+
+
+def rolling(items: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp hashes of every run of `length` items, under two bases: the hash of a run is that of the run before less
+    its first item, plus the new last one, which running sums of items times powers give for all runs at once."""
+    n = len(items) - length + 1
+    one, two = np.empty(max(n, 0), np.uint64), np.empty(max(n, 0), np.uint64)
+    for at in range(0, n, _SEGMENT):
+        part = items[at : at + _SEGMENT + length - 1]
+        for out, powers, x in ((one, _FIRST, part), (two, _SECOND, mix(part + _BASE))):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers(len(x)))])
+            m = len(x) - length + 1
+            out[at : at + m] = mix((sums[length:] - sums[:-length]) * powers(m, inverse=True))
+    return one, two
+
+
+def _paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _BASE + (right ^ (right >> np.uint64(29))))
+
+
+def doubled_at(raw: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two ranks of the strings of `length` (8 or more) bytes at each position: up to eight bytes are their own rank, and
+    each longer string has that of the pair of its first 2**k and its last 2**k bytes, the two halves overlapping at the
+    last step."""
+    eight = np.ndarray((len(raw),), "<u8", raw + b"\0" * 8, strides=(1,))
+
+    def rank(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        if length == 8:
+            x = eight[at]
+            return mix(x), mix(x ^ _BASE)
+        half = 1 << (length - 1).bit_length() - 1
+        left, right = rank(at, half), rank(at + (length - half), half)
+        return _paired(left[0], right[0]), _paired(right[1], left[1])
+
+    one, two = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    for i in range(0, len(at), _SEGMENT >> 4):
+        one[i : i + (_SEGMENT >> 4)], two[i : i + (_SEGMENT >> 4)] = rank(at[i : i + (_SEGMENT >> 4)], length)
+    return one, two
 
 
 def _slide(op, a: np.ndarray, w: int) -> np.ndarray:
@@ -76,63 +113,3 @@ def first_minima(order: np.ndarray, w: int) -> np.ndarray:
     never moves back from one start to the next."""
     key = order.astype(np.uint64) << np.uint64(32) | np.arange(len(order), dtype=np.uint64)
     return (_slide(np.minimum, key, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-class Bytes:
-    """A text as a sequence of bytes."""
-
-    def __init__(self, raw: bytes):
-        self._raw, self.items = raw, np.frombuffer(raw, np.uint8)
-
-    @staticmethod
-    def count(raw: bytes) -> int:
-        return len(raw)
-
-    def order(self, gram: int) -> np.ndarray:
-        """A hash for each place where a gram starts, of its first eight bytes."""
-        n = len(self._raw)
-        eight = np.ndarray((n,), "<u8", self._raw + b"\0" * 8, strides=(1,))[: n - gram + 1].copy()
-        return ((eight * _BASE) >> np.uint64(32)).astype(np.uint32)
-
-    def gather(self, starts: np.ndarray, length: int) -> np.ndarray:
-        whole = -(-length // 8) * 8
-        out = np.zeros((len(starts), whole), np.uint8)
-        out[:, :length] = np.lib.stride_tricks.sliding_window_view(self.items, length)[starts]
-        return out.view("<u8")
-
-
-class Words:
-    """A text as a sequence of words, each known by its hash."""
-
-    def __init__(self, raw: bytes):
-        self.items = word_hashes(raw)
-
-    @staticmethod
-    def count(raw: bytes) -> int:
-        return len(raw.split())
-
-    def order(self, gram: int) -> np.ndarray:
-        """A hash for each place where a gram starts, of all its words."""
-        n = len(self.items) - gram + 1
-        h = self.items[:n].copy()
-        for i in range(1, gram):
-            h = h * _BASE + self.items[i : n + i]
-        return (mix(h) >> np.uint64(32)).astype(np.uint32)
-
-    def gather(self, starts: np.ndarray, length: int) -> np.ndarray:
-        return np.lib.stride_tricks.sliding_window_view(self.items, length)[starts]
-
-
-def window_hashes(seq: Bytes | Words, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit Rabin-Karp hashes of the items [start, start + length) at each start, as signed numbers."""
-    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    for lo in range(0, len(starts), 1 << 16):
-        rows = seq.gather(starts[lo : lo + (1 << 16)], length)
-        a, b = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
-        for i in range(rows.shape[1]):
-            x = rows[:, i]
-            a = a * _FIRST + mix(x + _BASE)
-            b = (b ^ x) * _SECOND
-            b ^= b >> np.uint64(29)
-        one[lo : lo + len(rows)], two[lo : lo + len(rows)] = mix(a), mix(b)
-    return one.view(np.int64), two.view(np.int64)

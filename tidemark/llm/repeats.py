@@ -1,16 +1,12 @@
-"""Exact search for repeated fixed-length windows over all documents.
+"""Exact search for repeated names (hashes of windows) over all documents, in rounds that Spark sorts.
 
-A row per window would be too much to shuffle, so the search ranks stretches of growing length at fewer and fewer
-positions, and each round is exact:
+Documents are gathered to pieces of a few megabytes, stored in an order of their own. In a round each piece sends its
+distinct names, sorted and packed, to buckets of the name space; a bucket sorts the names of all pieces and answers each
+piece with one bit a name: whether it occurs again, and whether an earlier piece has it. A name that every document holds is
+sent once a piece. Only the bits come back, so neither texts nor positions are shuffled.
 
-1. Grams. A window is known by the first smallest of its grams (by a hash), a choice that depends on the window alone, so
-   equal windows choose equal grams at equal offsets. Windows that choose a gram which is chosen once occur once.
-2. Blocks. Neighbouring windows that choose the same gram form a block. The pair of ranks at its first and its last
-   window ranks the whole stretch. Of equal blocks one goes on; where a gram has one sort of block, none does.
-3. Windows. Those of the blocks that are left are ranked one by one.
-
-Ranks are 128-bit hashes (64-bit ones for grams, where a clash only costs time). Texts that occur more than once as a
-whole take part once.
+Names have 72 bits beside those of the bucket, whose number grows with the data: the odds that a name meets an equal one by
+chance stay at 2**-52 at any size.
 """
 
 from __future__ import annotations
@@ -20,190 +16,177 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import discard, many, release, stored
-from tidemark.llm.hashing import Bytes, Words, first_minima, window_hashes
-
-
-@dataclass(frozen=True)
-class Search:
-    """unit: Bytes or Words; window: its length; gram: that of anchors; first_stays: whether the first of equal windows
-    (smallest key, then position) is no repeat."""
-
-    unit: type
-    window: int
-    gram: int
-    first_stays: bool
-
-    def blocks(self, text: str) -> tuple[Bytes | Words, np.ndarray, np.ndarray, np.ndarray] | None:
-        """The sequence and, for each block, its gram's position, first and last start; None without a window."""
-        seq = self.unit(text.encode())
-        if len(seq.items) < self.window:
-            return None
-        chosen = first_minima(seq.order(self.gram), self.window - self.gram + 1)
-        edge = np.flatnonzero(chosen[1:] != chosen[:-1]) + 1
-        low = np.concatenate([[0], edge])
-        return seq, chosen[low], low, np.append(edge - 1, len(chosen) - 1)
-
-
-#: Windows of one row of arrays, a bound on memory for long texts; values of a batch before it is sent.
-_PART, _BATCH = 1 << 18, 1 << 20
-
-
-def _sent(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows whose second value is an array, gathered to batches of bounded size."""
-    out, size = [], 0
-    for row in rows:
-        out.append(row)
-        size += len(row[1])
-        if size >= _BATCH:
-            yield pd.DataFrame(out, columns=columns)
-            out, size = [], 0
-    yield pd.DataFrame(out, columns=columns)
-
-
-def _flat(df: DataFrame, arrays: list[str]) -> DataFrame:
-    """One row for each element of parallel arrays, beside _k."""
-    return df.select("_k", F.explode(F.arrays_zip(*arrays)).alias("e")).select("_k", *[f"e.{a}" for a in arrays])
-
-
-def _gram_rows(texts: DataFrame, search: Search) -> DataFrame:
-    """gram, no for every block of the texts."""
-
-    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
-        for k, text in zip(pdf["_k"], pdf["text"], strict=True):
-            if found := search.blocks(text):
-                seq, at, _, _ = found
-                yield k, window_hashes(seq, at, search.gram)[0], np.arange(len(at), dtype=np.int32)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from _sent(rows(pdf), ["_k", "gram", "no"])
-
-    return _flat(texts.mapInPandas(run, "_k long, gram array<long>, no array<int>"), ["gram", "no"])
-
-
-def _block_rows(texts: DataFrame, search: Search) -> DataFrame:
-    """For the blocks in `no`: gram, the pair of ranks, first start and number of further starts."""
-
-    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
-        for k, text, no in zip(pdf["_k"], pdf["text"], pdf["no"], strict=True):
-            seq, at, low, high = search.blocks(text)
-            no = np.sort(np.asarray(no))
-            at, low, high = at[no], low[no], high[no]
-            (a, b), (c, d) = window_hashes(seq, low, search.window), window_hashes(seq, high, search.window)
-            yield k, window_hashes(seq, at, search.gram)[0], a + 3 * c, b ^ (5 * d), low.astype(np.int32), (high - low).astype(np.int32)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from _sent(rows(pdf), ["_k", "gram", "one", "two", "start", "size"])
-
-    kind = "_k long, gram array<long>, one array<long>, two array<long>, start array<int>, size array<int>"
-    return _flat(texts.mapInPandas(run, kind), ["gram", "one", "two", "start", "size"])
-
-
-def _window_rows(texts: DataFrame, search: Search) -> DataFrame:
-    """All windows of the stretches in `parts` (start, size)."""
-
-    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
-        for k, text, parts in zip(pdf["_k"], pdf["text"], pdf["parts"], strict=True):
-            seq = search.unit(text.encode())
-            starts = np.concatenate([np.arange(p["start"], p["start"] + p["size"] + 1) for p in parts])
-            for at in range(0, len(starts), _PART):
-                part = starts[at : at + _PART]
-                yield k, *window_hashes(seq, part, search.window), part.astype(np.int32)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from _sent(rows(pdf), ["_k", "one", "two", "start"])
-
-    kind = "_k long, one array<long>, two array<long>, start array<int>"
-    return _flat(texts.mapInPandas(run, kind), ["one", "two", "start"])
-
-
-def copies(texts: DataFrame) -> DataFrame:
-    """_k, first for every row whose text occurs more than once: the smallest _k of that text."""
-    seen = stored(texts.select("_k", F.md5("text").alias("md5"), F.char_length("text").alias("n")))
-    groups = seen.groupBy("md5", "n").agg(F.min("_k").alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1")
-    return seen.join(groups, ["md5", "n"]).select("_k", "first")
-
-
-def repeated(texts: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
-    """Of texts (_k unique, text not null): the stretches of starts at which repeated windows begin, as stored rows
-    (_k, start, size) of texts that occur once or first, and copies() of the texts.
-
-    Grams, blocks and windows are counted with partial sums and joined back, so that Spark may split a frequent one. Only
-    one of equal blocks reaches the last round.
-    """
-    spark = texts.sparkSession
-    twins = stored(copies(texts))
-    single = texts.join(twins.where("_k <> first").select("_k"), "_k", "left_anti")
-    grams = stored(_gram_rows(single, search))
-    release(spark)
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("gram")
-    marked = stored(grams.join(often, "gram").groupBy("_k").agg(F.collect_list("no").alias("no")))
-    discard(grams)
-    rows = stored(_block_rows(texts.join(marked, "_k"), search))
-    discard(marked)
-    block = ["gram", "one", "two", "size"]
-    kinds = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("of"), F.min(F.struct("_k", "start")).alias("low"))
-    kinds = stored(kinds)
-    mixed = kinds.groupBy("gram").agg((F.count(F.lit(1)) > 1).alias("mixed")).where("mixed").select("gram")
-    gone = rows.join(kinds.where("of > 1"), block)
-    if search.first_stays:
-        gone = gone.where("_k <> low._k or start <> low.start")
-    gone = stored(gone.select("_k", "start", "size"))
-    parts = kinds.join(mixed, "gram").select("low._k", F.struct("low.start", "size").alias("part"))
-    pool = stored(parts.groupBy("_k").agg(F.collect_list("part").alias("parts")))
-    discard(rows, kinds)
-    rows = _window_rows(texts.join(pool, "_k"), search)
-    rows = stored(rows)
-    same = rows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("of"), F.min(F.struct("_k", "start")).alias("low"))
-    last = rows.join(same.where("of > 1"), ["one", "two"])
-    if search.first_stays:
-        last = last.where("_k <> low._k or start <> low.start")
-    last = stored(last.select("_k", "start", F.lit(0).alias("size")))
-    discard(rows)
-    discard(pool)
-    return gone.unionByName(last), twins
-
-
-def covered(starts: np.ndarray, sizes: np.ndarray, window: int, n: int) -> np.ndarray:
-    """Maximal runs [from, to) of items that lie in some repeated window, as rows."""
-    edge = np.zeros(n + 1, np.int64)
+from tidemark.llm.frames import placed, stored
+
+#: Bytes of text in a piece, names in a bucket, about.
+PIECE, BUCKET = 4 << 20, 1 << 20
+
+
+def pieces(docs: DataFrame, columns: list[str], size: int = PIECE) -> DataFrame:
+    """piece, bytes, docs (array of text and the columns) of all rows, stored. Pieces are numbered in the order of the
+    rows' partitions and, within one, of the rows; a text longer than a piece is one of its own. Null texts are empty."""
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            n = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(n):
+                continue
+            before = np.concatenate([[0], np.cumsum(n)])
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(before[:-1] // size)) + 1, [len(n)]])
+            each = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), each)
+            names = pa.array(np.arange(no, no + len(cuts) - 1))
+            no += len(cuts) - 1
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(before[cuts])), lists], ["piece", "bytes", "docs"])
+
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema)
+    return placed(rows.mapInArrow(run, f"piece long, bytes long, docs array<struct<{kinds}>>"), "piece")
+
+
+def bits(rows: DataFrame, per: float) -> int:
+    """So many leading bits of a name say its bucket; per: bytes of text for a name."""
+    names = (rows.agg(F.sum("bytes")).first()[0] or 0) / per
+    return max(0, int(np.ceil(np.log2(max(1, names / BUCKET)))))
+
+
+@dataclass
+class Names:
+    """Hashes at some positions of a piece. low and high: a further hash each, of which only the smallest and largest for a
+    name are asked about (whether all are equal)."""
+
+    one: np.ndarray
+    two: np.ndarray
+    other: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.first = self.of = self.order = None
+
+    def sort(self, lead: int) -> Names:
+        """Finds the distinct names: `order` of positions, `first` place in it of each name, and `of`, each position's name."""
+        self.rest = self.one << np.uint64(lead) | (self.two >> np.uint64(64 - lead) if lead else np.uint64(0))
+        self.last = self.two.astype(np.uint8)
+        self.order, self.first = ordered(self.one, self.rest, self.last)
+        self.of = np.empty(len(self.one), np.int64)
+        self.of[self.order] = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.one))))
+        return self
+
+    def slices(self, lead: int) -> Iterator[tuple]:
+        """bucket, n, names, twice and other for each bucket that the names fall in."""
+        head = self.order[self.first]
+        bucket = (self.one[head] >> np.uint64(64 - lead) if lead else np.zeros(len(head), np.uint64)).astype(np.int64)
+        twice = np.diff(np.append(self.first, len(self.order))) > 1
+        if self.other is not None and len(head):
+            low, high = (op.reduceat(self.other[self.order], self.first) for op in (np.minimum, np.maximum))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(head)]]) if len(head) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            more = low[a:b].tobytes() + high[a:b].tobytes() if self.other is not None else b""
+            yield int(bucket[a]), int(b - a), self.rest[head[a:b]].tobytes() + self.last[head[a:b]].tobytes(), np.packbits(twice[a:b]).tobytes(), more
+
+    def firsts(self) -> np.ndarray:
+        """For each position whether it is the first of its name in the piece."""
+        out = np.zeros(len(self.one), bool)
+        if len(self.first):
+            out[np.minimum.reduceat(self.order, self.first)] = True
+        return out
+
+
+def ordered(one: np.ndarray, rest: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of names, and where in it a name other than the one before stands."""
+    order = np.argsort(one)
+    same = one[order][1:] == one[order][:-1]
+    alike = same & (rest[order][1:] == rest[order][:-1]) & (last[order][1:] == last[order][:-1])
+    if (same & ~alike).any():
+        order = np.lexsort((last, rest, one))
+        alike = (one[order][1:] == one[order][:-1]) & (rest[order][1:] == rest[order][:-1]) & (last[order][1:] == last[order][:-1])
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(one)), bool), ~alike]))
+
+
+def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The bits for each piece's names in one bucket."""
+    n = pdf["n"].to_numpy()
+    rest = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(pdf["names"], n, strict=True)])
+    last = np.concatenate([np.frombuffer(x, np.uint8, k, 8 * k) for x, k in zip(pdf["names"], n, strict=True)])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(pdf["twice"], n, strict=True)]) > 0
+    order, first = ordered(rest, rest, last)
+    size = np.diff(np.append(first, len(order)))
+    piece = np.repeat(pdf["piece"].to_numpy(), n)
+    again, later, unlike = np.empty(len(order), bool), np.empty(len(order), bool), np.zeros(len(order), bool)
+    again[order] = np.repeat((size > 1) | np.logical_or.reduceat(twice[order], first), size)
+    later[order] = piece[order] != np.repeat(np.minimum.reduceat(piece[order], first), size)
+    if len(pdf["other"].iloc[0]):
+        low = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(pdf["other"], n, strict=True)])
+        high = np.concatenate([np.frombuffer(x, np.uint64, k, 8 * k) for x, k in zip(pdf["other"], n, strict=True)])
+        unlike[order] = np.repeat(np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first), size)
+    ends = np.cumsum(n)
+    packed = [[np.packbits(flags[e - k : e]).tobytes() for e, k in zip(ends, n, strict=True)] for flags in (again, later, unlike)]
+    return pdf[["piece", "bucket", "n"]].assign(again=packed[0], later=packed[1], unlike=packed[2])
+
+
+def heard(names: Names, answers: list[dict] | None, flag: str) -> np.ndarray:
+    """For each position of sorted names one of the answers: `again`, it occurs elsewhere too; `later`, an earlier piece has
+    it; `unlike`, its other hashes are not all equal."""
+    rows = sorted(answers if answers is not None else [], key=lambda r: r["bucket"])
+    said = [np.unpackbits(np.frombuffer(r[flag], np.uint8), count=r["n"]) for r in rows]
+    return (np.concatenate([np.empty(0, np.uint8), *said]) > 0)[names.of]
+
+
+def texts_of(docs: pa.Array) -> list[bytes]:
+    return docs.field("text").cast(pa.binary()).to_pylist()
+
+
+def each_piece(batches: Iterator[pa.RecordBatch], labels: tuple[str, ...]) -> Iterator[tuple[int, pa.StructArray, list]]:
+    for batch in batches:
+        docs = batch.column("docs")
+        for i in range(batch.num_rows):
+            start, end = docs.offsets[i].as_py(), docs.offsets[i + 1].as_py()
+            yield batch.column("piece")[i].as_py(), docs.values.slice(start, end - start), [batch.column(x)[i].as_py() for x in labels]
+
+
+def with_answers(rows: DataFrame, answers: dict[str, DataFrame]) -> DataFrame:
+    """Pieces with what they heard in former rounds. The pieces are stored by their number, so only answers are moved."""
+    for label, each in answers.items():
+        listed = each.groupBy("piece").agg(F.collect_list(F.struct("bucket", "n", "again", "later", "unlike")).alias(label))
+        rows = rows.join(listed, "piece", "left")
+    return rows
+
+
+def ask(rows: DataFrame, lead: int, find: Callable[..., Names], answers: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One round, stored: piece, bucket, n, again, later, unlike. find(texts, *former answers) gives a piece's names."""
+    answers = answers or {}
+    labels = tuple(answers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, docs, former in each_piece(batches, labels):
+            names = find(texts_of(docs), *former).sort(lead)
+            out = [(bucket, piece, *rest) for bucket, *rest in names.slices(lead)]
+            if out:
+                columns = [pa.array(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2].cast(pa.int32()), *[c.cast(pa.binary()) for c in columns[3:]]], ["bucket", "piece", "n", "names", "twice", "other"])
+
+    sent = with_answers(rows, answers).mapInArrow(run, "bucket long, piece long, n int, names binary, twice binary, other binary")
+    kind = "piece long, bucket long, n int, again binary, later binary, unlike binary"
+    return stored(sent.groupBy("bucket").applyInPandas(_judge, kind))
+
+
+def in_order(docs: DataFrame, id_col: str) -> DataFrame:
+    """Rows dealt and sorted by id, null ones last, those of one id by their text."""
+    from tidemark.llm.frames import many
+
+    order: list[Column] = [F.asc_nulls_last(F.col(id_col).cast("long")), F.xxhash64("text").asc(), F.monotonically_increasing_id().asc()]
+    return docs.repartitionByRange(many(docs.sparkSession), *order).sortWithinPartitions(*order[:2])
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n items lie in some stretch [start, end)."""
+    edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + sizes + window, n), -1)
-    inside = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-    return np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
-
-
-def apply_removals(docs: DataFrame, search: Search, columns: list[str], result: Callable, kind: str) -> DataFrame:
-    """Runs `result` on (columns of a document..., text, removed runs) of every row. docs: _k, text and `columns`.
-
-    The runs of a text that occurs more than once: all of it for the later copies, and for the first one too unless it
-    stays; texts shorter than a window lose nothing.
-    """
-    texts = docs.select("_k", "text")
-    found, twins = repeated(texts, search)
-    listed = found.groupBy("_k").agg(F.collect_list(F.struct("start", "size")).alias("parts"))
-    whole = twins.where("_k <> first" if search.first_stays else "true").select("_k", F.lit(True).alias("whole"))
-    rows = docs.join(listed.join(whole, "_k", "full"), "_k", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                text, parts = row.text, row.parts
-                n = search.unit.count(text.encode()) if row.whole is True or parts is not None else 0
-                if row.whole is True:
-                    runs = np.array([[0, n]] if n >= search.window else np.empty((0, 2), int))
-                elif parts is not None:
-                    runs = covered(np.array([p["start"] for p in parts]), np.array([p["size"] for p in parts]), search.window, n)
-                else:
-                    runs = np.empty((0, 2), int)
-                out.append(result(*[getattr(row, c) for c in columns], text, runs))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")])
-
-    return rows.select("text", "parts", "whole", *columns).mapInPandas(run, kind)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge[:-1]) > 0

@@ -4,28 +4,61 @@ maximal removal intervals."""
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import exact, keyed, numbered
-from tidemark.llm.hashing import Words
-from tidemark.llm.repeats import Search, apply_removals
+from tidemark.llm.frames import spread
+from tidemark.llm.hashing import rolling, word_hashes
+from tidemark.llm.repeats import Names, ask, bits, covered, each_piece, heard, pieces, texts_of, with_answers
 
-WINDOW, GRAM = 35, 8
+WINDOW = 35
+#: Bytes of text for a word, by which the number of buckets is chosen.
+_WORD_BYTES = 6
 
 
-def _search(window: int) -> Search:
-    return Search(Words, window, min(GRAM, window), first_stays=False)
+class Windows:
+    """All windows of a piece's texts: `bounds` are the numbers of each text's first word and the end, `starts` the first
+    words of the windows that lie in one text, `places` where each word begins in `raw`."""
 
+    def __init__(self, texts: list[bytes], window: int):
+        self.raw = b"\n".join(texts)
+        at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        items, self.places = word_hashes(self.raw)
+        self.bounds, self.window = np.searchsorted(self.places, at), window
+        one, two = rolling(items, window)
+        left = np.repeat(self.bounds[1:], np.diff(self.bounds))[: len(one)] - np.arange(len(one))
+        self.starts = np.flatnonzero(left >= window)
+        self.names = Names(one[self.starts], two[self.starts])
 
-def _keep(text: str, runs: np.ndarray) -> tuple[list[bytes], int]:
-    words, kept, at = text.encode().split(), [], 0
-    for low, high in runs.tolist():
-        kept += words[at:low]
-        at = high
-    return kept + words[at:], len(words)
+    def gone(self, answers: list[dict] | None, lead: int) -> np.ndarray:
+        """Which words lie in a window that occurs again."""
+        again = self.starts[heard(self.names.sort(lead), answers, "again")]
+        return covered(again, again + self.window, len(self.places))
+
+
+def _apply(docs: DataFrame, columns: list[str], window: int, result: Callable, kind: str) -> DataFrame:
+    """result(text, words gone, columns...) of every row."""
+    rows = pieces(spread(docs), columns)
+    lead = bits(rows, _WORD_BYTES)
+    answers = ask(rows, lead, lambda texts: Windows(texts, window).names)
+    fields = [x.split() for x in kind.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, (said,) in each_piece(batches, ("said",)):
+            texts = texts_of(part)
+            found = Windows(texts, window)
+            gone, ends = found.gone(said, lead), found.bounds.tolist()
+            more = zip(*[part.field(c).to_pylist() for c in columns], strict=True)
+            out = [result(t, gone[a:b], *x) for t, a, b, x in zip(texts, ends[:-1], ends[1:], more, strict=True)]
+            kinds = {"long": pa.int64(), "string": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+    return with_answers(rows, {"said": answers}).mapInArrow(run, kind)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -36,25 +69,39 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns are not looked at; an empty table gives no rows.
     """
 
-    def result(doc_id, text, runs):
-        kept, n = _keep(text, runs)
-        return doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
-
-    rows = docs.select(exact("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = "doc_id string, n_words long, n_removed long, kept_sha256 string"
-    return numbered(apply_removals(keyed(rows, "doc_id", ["doc_id", "text"]), _search(window), ["doc_id"], result, kind))
+    def result(text: bytes, gone: np.ndarray, doc_id: int | None) -> tuple:
+        n = int(gone.sum())
+        words = text.split()
+        kept = compress(words, (~gone).tolist()) if n else words
+        return doc_id, len(gone), n, hashlib.sha256(b" ".join(kept)).hexdigest()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _apply(rows, ["doc_id"], window, result, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def cut(text: bytes, gone: np.ndarray) -> str:
+    """The text as it is where no word goes; else its kept runs of words with the white space inside them, one space
+    between runs."""
+    if not gone.any():
+        return text.decode()
+    begin, end, at, out = [], [], 0, []
+    for word in text.split():
+        at = text.index(word, at)
+        begin.append(at)
+        at += len(word)
+        end.append(at)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    for low, high in edge.reshape(-1, 2).tolist():
+        out.append(text[begin[low] : end[high - 1]])
+    return b" ".join(out).decode()
 
 
 def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs (doc_id, text, lang, source) with each text replaced by its kept words, joined by one space.
+    """The rows of docs (doc_id, text, lang, source) with the words that digests() removes cut out of each text.
 
-    Cases are as in digests(); a null text becomes an empty one.
+    Every copy of a repeated passage goes, the first one too, so a text that holds nothing else becomes empty; its row
+    stays. Texts that lose nothing keep their white space. Cases are as in digests(); a null text becomes an empty one.
     """
-
-    def result(doc_id, lang, source, text, runs):
-        return doc_id, b" ".join(_keep(text, runs)[0]).decode(), lang, source
-
-    rows = docs.select(exact("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
-    kind = "doc_id string, text string, lang string, source string"
     columns = ["doc_id", "lang", "source"]
-    return numbered(apply_removals(keyed(rows, "doc_id", [*columns, "text"]), _search(window), columns, result, kind))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    return _apply(rows, columns, window, lambda text, gone, *more: (cut(text, gone), *more), "text string, doc_id long, lang string, source string")
