@@ -37,7 +37,7 @@ class Blocks:
         self.raw, self.length, self.half = b"".join(texts), length, -(-length // 2)
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         first, stop = self.bounds[:-1], np.maximum(self.bounds[1:] - length + 1, self.bounds[:-1])
-        edges, n, w = [first, stop[stop < len(self.raw) - length + 1]], len(self.raw) - length + 1, length - self.half + 1
+        n, w = len(self.raw) - length + 1, length - self.half + 1
         edges, places, last = [], [], -1
         eight = np.ndarray((len(self.raw),), "<u8", self.raw + b"\0" * 8, strides=(1,))
         for at in range(0, n, _SEGMENT):
@@ -146,10 +146,10 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     more = {x: ask(rows, lead, find, said) for x, find in (("blocks", rounds.blocks), ("sorts", rounds.sorts))}
     said |= more
     said["strings"] = ask(rows, lead, rounds.strings, said)
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    labels, kind = tuple(said), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part, heard_ in each_piece(batches, tuple(said)):
+        for _, part, heard_ in each_piece(batches, labels):
             texts = texts_of(part)
             gone, bounds = rounds.gone(texts, *heard_)
             out = []
