@@ -43,22 +43,17 @@ def test_added_tokens(spark, tmp_path):
         assert {r["doc_id"]: r["ids_crc32"] for r in rows.collect()} == want
 
 
-@pytest.mark.parametrize("first_stays", [False, True])
-def test_frequent_passage_with_other_surroundings(spark, first_stays, monkeypatch):
-    """No window function deals rows by a window's hash, where one task would meet all rows of a frequent one."""
-    from tidemark.llm import repeats
-    from tidemark.llm.hashing import Words
-    from tidemark.llm.repeats import Search, covered, repeated
+def test_frequent_passage_with_other_surroundings(spark, monkeypatch):
+    """A passage that every text has, with other neighbours: a bucket meets its names once a piece, not once a text."""
+    from tidemark.llm import repeats, substring_dedup, suffix_dedup
 
     passage = " ".join(f"p{i}" for i in range(45))
-    texts = [f"{' '.join(f'a{k}x{i}' for i in range(9))} {passage} {' '.join(f'b{k}x{i}' for i in range(9))}" for k in range(40)]
-    plans, parts, put = [], {}, repeats.stored
-    monkeypatch.setattr(repeats, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(df))
-    found, _ = repeated(spark.createDataFrame(list(enumerate(texts)), "_k long, text string"), Search(Words, 35, 8, first_stays))
-    assert len(plans) > 5 and "Window [" not in "".join(plans)
-    for r in found.collect():
-        parts.setdefault(r["_k"], []).append((r["start"], r["size"]))
-    for k, (x, gone) in enumerate(plain(texts, words, 35, first_stays)):
-        mine = np.array(parts.get(k, np.empty((0, 2), int)))
-        runs = covered(mine[:, 0], mine[:, 1], 35, len(x))
-        assert Counter(np.flatnonzero(gone).tolist()) == Counter(i for a, b in runs.tolist() for i in range(a, b))
+    texts = [f"{' '.join(f'a{k}x{i}' for i in range(9))} {passage} {' '.join(f'b{k}x{i}' for i in range(9))}" for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    sent, put = [], repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df: sent.append(put(df)) or sent[-1])
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.digests(docs).collect()}
+    assert found == {k: (len(x), int(gone.sum())) for k, (x, gone) in enumerate(plain(texts, words, 35, False))}
+    assert sum(r["n"] for r in sent[0].collect()) == 200 * (63 - 34) - 199 * 11
+    found = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.digests(docs).collect()}
+    assert Counter(found.values()) == Counter(int(gone.sum()) for _, gone in plain(texts, lambda t: list(t.encode()), 100, True))
