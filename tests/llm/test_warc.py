@@ -46,12 +46,29 @@ def test_archives_are_gzip_members_and_index_is_ordered(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     pages = pages.union(pages.selectExpr("page_id + 100000", "url", "html")).repartition(5)
     runs = write_archives(pages, str(tmp_path)).cache()
-    merged = [(r["url_key"], r["timestamp"], r["run"], r["offset"]) for r in merge_index(runs).collect()]
+    merged = sorted(merge_index(runs).collect(), key=lambda r: r["part"])  # rows of a part are stored in order
+    assert len({r["part"] for r in merged}) > 1
+    merged = [(r["url_key"], r["timestamp"], r["run"], r["offset"]) for r in merged]
     assert merged == sorted((r["url_key"], r["timestamp"], r["run"], r["offset"]) for r in runs.collect())
     whole = b"".join(gzip.decompress(open(f, "rb").read()) for f in sorted(glob.glob(f"{tmp_path}/*.warc.gz")))
     assert whole.count(b"WARC-Record-ID: ") == len(merged) == pages.count()
 
 
+def test_captures_are_counted_in_the_order_of_the_merge(spark):
+    """One URL with a third of all pages, whose history spans the range partitions."""
+    from tidemark.llm.warc import round_trip
+
+    rows = [(i * 7 % 900, "http://a.b/hot" if i % 3 == 0 else f"http://a.b/{i % 50}?q#top", f"page {i}", "x", 1, "d") for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, k long, payload_bytes string").repartition(6)
+    got = {r["page_id"]: (r["url_key"], r["capture"]) for r in round_trip(pages).collect()}
+    seen, want = Counter(), {}
+    for i, url, *_ in sorted(rows):
+        key = "b,a)" + url.removeprefix("http://a.b").removesuffix("#top")
+        seen[key] += 1
+        want[i] = (key, seen[key])
+    assert got == want and max(seen.values()) == 300
+
+
 def test_missing_and_repeated_ids(spark):
     from tidemark.llm.warc import round_trip
 

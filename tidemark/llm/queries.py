@@ -57,7 +57,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.warc import round_trip
 
-    return round_trip(table(spark, sf_dir, "pages")).drop("url_key", "timestamp")
+    return round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +116,23 @@ ORACLE: dict[str, str] = {
     """,
     "op7_warc": """
         with p as (
-            select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages
+            select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes, coalesce(url, '') as url,
+                   strftime(timestamp '2024-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') as timestamp
+            from pages
+        ),
+        parts as (
+            select page_id, list_reverse(string_split(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1), '.')) as labels,
+                   regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*[?]([^#]+)', 1) as query
+            from p
+        ),
+        keys as (
+            select page_id, lower(array_to_string(labels, ',') || ')' || if(path = '', '/', path) || if(query = '', '', '?' || query)) as url_key from parts
         ),
         f as (select html, min(page_id) as first from p where payload_bytes >= 100 group by html)
         select page_id, payload_bytes, sha256(p.html) as payload_digest,
                case when f.first <> page_id then 'revisit' else 'response' end as record_type,
-               case when f.first <> page_id then f.first end as refers_to
-        from p left join f on p.html = f.html and p.payload_bytes >= 100
+               case when f.first <> page_id then f.first end as refers_to, url_key, timestamp,
+               row_number() over (partition by url_key order by timestamp, page_id) as capture
+        from p join keys using (page_id) left join f on p.html = f.html and p.payload_bytes >= 100
     """,
 }

@@ -15,11 +15,12 @@ from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import keyed, many, release, shared_dir, stored
+from tidemark.llm.frames import keyed, many, shared_dir, stored
 
 #: Payloads below this many bytes are never revisits. Records of an archive at most: a bound on a run's memory.
 LEAST, ARCHIVE_RECORDS = 100, 20_000
@@ -29,6 +30,7 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _INDEX = "run string, url_key string, timestamp string, page_id long, offset long, length long"
+_MERGED = f"{_INDEX}, part long, place long"
 
 
 def file_system(uri: str):
@@ -144,7 +146,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes .warc.gz files to the folder; index rows of each archive, sorted. pages: page_id, url, html.
 
     Of pages of equal payload and at least 100 bytes, that with the smallest page_id (then the first stored) is written in
-    full, the others as revisits of it. Files appear whole under their final name, so a repeated task is harmless.
+    full, the others as revisits of it. Files appear whole under their final name, so a repeated task is harmless. Nulls,
+    repeated ids and other columns are as in round_trip(); an empty table writes nothing.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = keyed(rows, "page_id", ["page_id", "url", "html"])
@@ -175,27 +178,49 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def merge_index(index: DataFrame) -> DataFrame:
-    """The rows of all runs in one order of url_key, timestamp, run and offset, over partitions and within them."""
-    columns = index.columns
+    """The rows of all runs in one order of url_key, timestamp, run and offset, over parts and within them, with `part`
+    (the range partition, stored as a file in order) and `capture`, the row's place in the history of its url_key, from 1.
+
+    A range partition holds its slices of the runs in columns and merges them row by row. A key whose history spans
+    partitions goes on counting: at most two keys of a partition do so, and only their counts are sent to all tasks. Ties
+    of key and timestamp go by run and offset; null page_ids are carried along; no rows give none.
+    """
+    spark, columns = index.sparkSession, index.columns
     order = ["url_key", "timestamp", "run", "offset"]
     at = [columns.index(c) for c in order]
-    slices = index.repartitionByRange(many(index.sparkSession), *order).sortWithinPartitions("run", *order[:2], "offset")
+    slices = index.repartitionByRange(many(spark), *order).sortWithinPartitions("run", *order[:2], "offset")
+
+    def rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in parts:
+            for part in _parts(batch, 1000):
+                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    yield tuple(row[i] for i in at), row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+        runs: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                runs.setdefault(row[columns.index("run")], []).append((tuple(row[i] for i in at), row))
-        out: list[tuple] = []
-        for _, row in LoserTree(runs.values()):
-            out.append(row)
+            ends = pc.run_end_encode(batch.column("run"))
+            low = 0
+            for name, high in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
+                runs.setdefault(name, []).append(batch.slice(low, high - low))
+                low = high
+        part, url, place, out = TaskContext.get().partitionId(), None, 0, []
+        for (key, *_), row in LoserTree(rows(r) for r in runs.values()):
+            url, place = key, place + 1 if key == url else 1
+            out.append((*row, part, place))
             if len(out) == 10_000:
-                yield _batch(out, _INDEX)
+                yield _batch(out, _MERGED)
                 out = []
         if out:
-            yield _batch(out, _INDEX)
+            yield _batch(out, _MERGED)
 
-    return slices.mapInArrow(run, _INDEX)
+    merged = stored(slices.mapInArrow(run, _MERGED))
+    sizes = merged.groupBy("url_key", "part").agg(F.count(F.lit(1)).alias("n"))
+    spread_ = sizes.groupBy("url_key").agg(F.collect_list(F.struct("part", "n")).alias("parts")).where("size(parts) > 1")
+    before = F.expr("aggregate(filter(parts, q -> q.part < p.part), 0L, (a, q) -> a + q.n)").alias("before")
+    spread_ = spread_.select("url_key", "parts", F.explode("parts").alias("p")).select("url_key", F.col("p.part").alias("part"), before)
+    told = merged.join(F.broadcast(spread_), ["url_key", "part"], "left")
+    return told.select(*columns, "part", (F.col("place") + F.coalesce("before", F.lit(0))).alias("capture"))
 
 
 def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -209,10 +234,11 @@ def _batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, timestamp of every index row, from the
-    record in its archive. Sizes and digests of full payloads are computed anew and held against the record's headers."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, timestamp, capture of every row of a merged
+    index, from the record in its archive. Sizes and digests of responses are computed anew and held against the record's
+    headers; a revisit has no payload of its own, and its size and digest are those that its record states."""
 
-    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string"
+    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, capture long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -229,7 +255,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 if sort == "response" and (len(payload), hashlib.sha256(payload).hexdigest()) != (size, digest):
                     raise ValueError(f"{name} at {row['offset']}: the payload is not what its record says")
                 number = lambda k: int(headers[k]) if k in headers else None  # noqa: B023, E731
-                out.append((number("X-Page-Id"), size, digest, sort, number("X-Refers-To-Page-Id"), row["url_key"], row["timestamp"]))
+                out.append((number("X-Page-Id"), size, digest, sort, number("X-Refers-To-Page-Id"), row["url_key"], row["timestamp"], row["capture"]))
             yield _batch(out, kind)
         if file:
             file.close()
@@ -241,7 +267,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives to the shared folder, merges the index runs, and reads every record back.
 
-    One row a page. Null html is an empty payload; null urls have the key of an empty one; null page_ids stay null and are
+    One row a page, with its place in the captures of its URL. Null html is an empty payload; null urls have the key of an empty one; null page_ids stay null and are
     the last choice for a response; pages that repeat an id are records of their own. Other columns are not looked at; an
     empty table gives no rows.
     """
@@ -250,5 +276,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     runs = stored(write_archives(pages, folder))
-    release(spark)
-    return read_archives(stored(merge_index(runs)), folder)
+    return read_archives(merge_index(runs), folder)
