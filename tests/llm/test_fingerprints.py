@@ -20,7 +20,8 @@ def test_edited_texts_and_likeness(spark, sf, which, monkeypatch):
     else:
         docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0)))
-    got = {r["doc_id"]: r for r in fp.digests(docs).collect()}
+    asked = 2 if which == "documents" else 50
+    got = {r["doc_id"]: r for r in fp.digests(docs, asked).collect()}
     assert len(got) == len(rows)
     same = {}
     for i, (doc, text) in enumerate(rows):
@@ -34,6 +35,12 @@ def test_edited_texts_and_likeness(spark, sf, which, monkeypatch):
         assert r["near_next"] == 1 - (own ^ int(got[after_id]["fingerprint"], 16)).bit_count() / 64
         assert same.setdefault(text, own) == own
         assert same.setdefault(changed, new) == new
+    # the neighbours come out of the permuted tables: every other fingerprint within three bits, of documents asked for
+    prints = {int(r["fingerprint"], 16) for r in got.values()}
+    for doc, r in got.items():
+        own = int(r["fingerprint"], 16)
+        want = sum(0 < (own ^ p).bit_count() <= 3 for p in prints) if doc is not None and doc % asked == 0 else None
+        assert r["n_near"] == want
     if which == "documents":
         assert np.mean([r["near_edited"] for r in got.values()]) > np.mean([r["near_next"] for r in got.values()]) + 0.15
 
@@ -60,6 +67,20 @@ def test_repeated_rows(spark):
     assert digests(docs.limit(0)).count() == 0
 
 
+def test_many_missing_ids_and_stretches(spark, monkeypatch):
+    """More stretches than quantiles, and null ids in stretches of their own, still follow one order."""
+    from tidemark.llm import fingerprints as fp
+
+    monkeypatch.setattr(fp, "STRETCH", 5)
+    monkeypatch.setattr(fp, "QUANTILES", 4)
+    rows = [(None if i % 3 == 0 else i * i, f"text number {i} of many") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = fp.with_next(docs).select("stretch", "doc_id", "text", "next_text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(out, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["h"]))
+    assert len(out) == 300 and len({r["stretch"] for r in out if r["doc_id"] is None}) > 4 < len({r["stretch"] for r in out if r["doc_id"]})
+    assert [r["next_text"] for r in order] == [r["text"] for r in order[1:] + order[:1]]
+
+
 def test_near_finds_all(spark):
     from tidemark.llm.fingerprints import near
 

@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import many, stored
 
-#: Terms count at most this much each; documents in a stretch of the id order on average; stretches at most.
-HEAVIEST, STRETCH, STRETCHES = 40, 2000, 1024
+#: Part of the fingerprint's definition: a pair of words weighs as many as it has characters, at most so many.
+HEAVIEST = 40
+#: Documents in a stretch of the id order on average; quantiles of doc_id that are looked up, between which ids are cut evenly.
+STRETCH, QUANTILES = 2000, 1024
+#: Differing bits of near fingerprints, blocks of the permuted tables, and of how many documents one is asked for (all whose
+#: id is a multiple of it).
+RADIUS, BLOCKS, ASKED = 3, 6, 50
 _SPACE = " \t\n\x0b\f\r"
 _PAIR = 1 << 32 | 1
 
 
 def terms(text: Column) -> Column:
-    """Array of (hash, weight): pairs of neighbouring words in lower case, or the only word; empty without words."""
+    """Array of (hash, weight): pairs of neighbouring words in lower case, or the only word; empty without words. The weight
+    is the number of characters, HEAVIEST at most, so that a long string of no words does not decide alone."""
     words = F.split(F.btrim(F.lower(text), F.lit(_SPACE)), r"[ \t\n\x0B\f\r]+")
     weight = lambda *w: F.least(sum(map(F.char_length, w)), F.lit(HEAVIEST)).cast("long").alias("weight")
     pairs = F.zip_with(
@@ -70,26 +76,35 @@ def with_next(docs: DataFrame) -> DataFrame:
     """stretch, no, doc_id, text, next_text of all rows: the text of the next row by descending doc_id, after the last
     the first. Null ids come last; rows of the same id follow each other by the hash of their text.
 
-    The id order is cut at approximate quantiles of doc_id into stretches that are sorted on their own. The first row of
-    each also closes the stretch before, as a row without a number.
+    The id order is cut into stretches that are sorted on their own: at approximate quantiles of doc_id, and evenly between
+    two of them where there are more documents than QUANTILES stretches hold. Null ids are cut by the leading bits of the
+    hash that orders them. The first row of each stretch also closes the stretch before, as a row without a number.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.select("doc_id").count()
-    cuts = min(STRETCHES, -(-n // STRETCH)) if n else 1
+    seen = rows.select(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    cuts = min(QUANTILES, max(1, -(-seen["ids"] // STRETCH)))
+    each = max(1, -(-seen["ids"] // (cuts * STRETCH)))
     at = [i / cuts for i in range(1, cuts)]
     marks = rows.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] if at else []
-    marks = sorted(set(marks or []))
-    below = F.size(F.filter(F.array(*[F.lit(m).cast("long") for m in marks]), lambda m: m < F.col("doc_id"))) if marks else F.lit(0)
-    stretch = F.when(F.col("doc_id").isNull(), -1).otherwise(below)
-    rows = rows.withColumn("stretch", stretch.cast("int"))
+    edges = [seen["low"] or 0, *sorted(set(marks or [])), seen["high"] or 0]
+    known = F.array(*[F.lit(m).cast("long") for m in edges])
+    below = F.greatest(F.size(F.filter(F.array(*[F.lit(m).cast("long") for m in edges[1:-1]]), lambda m: m < F.col("doc_id"))), F.lit(0)) if len(edges) > 2 else F.lit(0)
+    low, high = F.element_at(known, below + 1).cast("double"), F.element_at(known, below + 2).cast("double")
+    share = F.coalesce(F.try_divide(F.col("doc_id") - low, high - low), F.lit(0.0))
+    inside = F.least(F.greatest(F.floor(share * each), F.lit(0)), F.lit(each - 1))
+    halvings = max(0, (max(1, (seen["n"] - seen["ids"]) // STRETCH)).bit_length() - 1)
+    nulls = F.shiftright(F.xxhash64("text"), 63 - halvings) - F.lit(1 << halvings) if halvings else F.lit(-1).cast("long")
+    stretch = F.when(F.col("doc_id").isNull(), nulls).otherwise(below.cast("long") * each + inside)
+    rows = rows.withColumn("stretch", stretch.cast("long"))
     # the highest stretch comes first; the first row of each also follows the last of the next higher one
     ring = Window.orderBy("stretch")
-    heads = rows.groupBy("stretch").agg(F.max("doc_id").alias("head"))
-    heads = heads.withColumn("to", F.coalesce(F.lead("stretch").over(ring), F.min("stretch").over(ring)))
-    rows = rows.join(F.broadcast(heads), "stretch")
+    heads = rows.groupBy("stretch").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("hash"))).alias("head"))
+    heads = stored(heads.withColumn("to", F.coalesce(F.lead("stretch").over(ring), F.min("stretch").over(ring))))
+    rows = rows.join(heads, "stretch")
     own = F.struct("stretch", F.lit(False).alias("copy"))
     again = F.struct(F.col("to").alias("stretch"), F.lit(True).alias("copy"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, again)).otherwise(F.array(own))
+    top = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.xxhash64("text") == F.col("head.hash"))
+    places = F.when(top, F.array(own, again)).otherwise(F.array(own))
     rows = rows.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.stretch", "at.copy")
     rows = rows.repartition(many(docs.sparkSession), "stretch")
     order = Window.partitionBy("stretch").orderBy("copy", F.desc_nulls_last("doc_id"), F.xxhash64("text").desc())
@@ -121,39 +136,56 @@ def edited(docs: DataFrame) -> DataFrame:
     return prints.groupBy(*keys).agg(own.alias("own"), new.alias("new"), F.max("sha").alias("edited_sha256"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """The rows of edited() with the likeness to the next document's fingerprint. The heads of stretches, of which there
-    are STRETCHES at most, are all that is put in one order or sent to every task."""
+def digests(docs: DataFrame, asked: int = ASKED) -> DataFrame:
+    """The rows of edited() with the likeness to the next document's fingerprint, and n_near: for every doc_id divisible by
+    `asked` the number of other fingerprints of the table within RADIUS differing bits (see near()), else null.
+
+    Copies of a text are one fingerprint. The heads of stretches, one for about STRETCH documents, are all that is put in
+    one order. Cases are as in edited()."""
     rows = stored(edited(docs))
     within, ring = Window.partitionBy("stretch").orderBy("no"), Window.orderBy("stretch")
     heads = rows.where("no = 1").select("stretch", F.col("own").alias("head"))
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = heads.select("stretch", F.coalesce(F.lag("head").over(ring), F.last("head").over(whole)).alias("after"))
-    rows = rows.join(F.broadcast(after), "stretch").withColumn("next", F.coalesce(F.lead("own").over(within), F.col("after")))
+    after = stored(heads.select("stretch", F.coalesce(F.lag("head").over(ring), F.last("head").over(whole)).alias("after")))
+    rows = rows.join(after, "stretch").withColumn("next", F.coalesce(F.lead("own").over(within), F.col("after")))
+    queried = F.coalesce(F.col("doc_id") % asked == 0, F.lit(False))
+    some = rows.where(queried)
+    met = near(some.select(F.col("own").alias("fp")), rows.select(F.col("own").alias("fp")), RADIUS, BLOCKS).where("distance > 0")
+    counts = met.groupBy(F.col("fp").alias("own")).agg(F.count(F.lit(1)).alias("n_near"))
+    some = some.join(counts, "own", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    rows = rows.where(~queried).withColumn("n_near", F.lit(None).cast("long")).unionByName(some)
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "n_near",
     )
 
 
+def masks(radius: int, blocks: int) -> list[int]:
+    """The kept bits of each permuted table, as signed numbers."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    fields = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
+    kept = [sum(fields[i] for i in keep) for keep in combinations(range(blocks), blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in kept]
+
+
 def block_tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     """One row for each way to keep all but `radius` of the blocks of fp: the table's number and the kept bits.
 
     Two fingerprints within the radius differ in at most `radius` blocks, so some table has them under one key.
     """
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    fields = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    masks = [sum(fields[i] for i in keep) for keep in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(signed)])
+    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks(radius, blocks))])
     rows = prints.withColumn("t", F.explode(tables))
     return rows.withColumns({"table": F.col("t.table"), "bits": F.col("fp").bitwiseAND(F.col("t.mask"))}).drop("t")
 
 
-def near(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """fp, found, distance: for every distinct fp of the queries all distinct fingerprints within the radius, from 20
-    permuted tables of 32 kept bits by default. Copies are one fingerprint; zero is searched like any other."""
-    asked = block_tables(queries.select("fp").distinct(), radius, blocks)
-    known = block_tables(prints.select("fp").distinct(), radius, blocks).withColumnRenamed("fp", "found")
-    pairs = asked.join(known, ["table", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("found"))))
-    return pairs.where(F.col("distance") <= radius).select("fp", "found", "distance").distinct()
+    permuted tables of 32 kept bits by default. Copies are one fingerprint; zero is searched like any other. A pair that
+    several tables hold comes from the first of them, so no step sorts pairs to tell them apart; null queries find none."""
+    asked = block_tables(queries.where("fp is not null").select("fp").distinct(), radius, blocks)
+    known = block_tables(prints.where("fp is not null").select("fp").distinct(), radius, blocks).withColumnRenamed("fp", "found")
+    pairs = asked.join(known, ["table", "bits"]).withColumn("gap", F.col("fp").bitwiseXOR(F.col("found")))
+    pairs = pairs.withColumn("distance", F.bit_count("gap")).where(F.col("distance") <= radius)
+    earlier = [F.when(F.col("gap").bitwiseAND(F.lit(m).cast("long")) == 0, i) for i, m in enumerate(masks(radius, blocks))]
+    return pairs.where(F.col("table") == F.coalesce(*earlier)).select("fp", "found", "distance")
