@@ -13,8 +13,8 @@ LOG = (
 PAGE_LOG = "common map<string,string>, page map<string,string>, ts bigint"
 _DIM_ROUTE = "source_table string, sink_table string, sink_columns string, sink_family string, sink_row_key string"
 _FACT_ROUTE = "source_table string, source_type string, sink_table string, sink_columns string"
-DIM_CONFIG = f"op string, before struct<{_DIM_ROUTE}>, after struct<{_DIM_ROUTE}>"
-FACT_CONFIG = f"op string, before struct<{_FACT_ROUTE}>, after struct<{_FACT_ROUTE}>"
+DIM_CONFIG = f"op string, before struct<{_DIM_ROUTE}>, after struct<{_DIM_ROUTE}>, ts_ms bigint"
+FACT_CONFIG = f"op string, before struct<{_FACT_ROUTE}>, after struct<{_FACT_ROUTE}>, ts_ms bigint"
 _SPLIT = "sku_num string, split_original_amount string, split_activity_amount string, split_coupon_amount string"
 ORDER_DETAIL = (
     "id string, order_id string, user_id string, sku_id string, sku_name string, province_id string, activity_id string, "

@@ -18,13 +18,19 @@ def day(ts: str) -> Column:
 
 
 def first_of_day(rows: DataFrame, keys: list[str], ts: str, order: list[str], where: Column | None = None) -> DataFrame:
-    """Rows whose day differs from that of the key's row before, with last_day (null at the first row ever)."""
+    """Rows whose day differs from that of the key's row before, with last_day (null at the first row ever).
+
+    In batch the first row of a key's day is found by a partial minimum before the shuffle, so that a key with very many
+    rows sends one for each day and task; only days are put in order."""
     if where is not None:
         rows = rows.where(where)
     if rows.isStreaming:
         return stream.first_of_day(rows, keys, ts, order)
-    rows = rows.withColumn("last_day", F.lag(day(ts)).over(_over(keys, order)))
-    return rows.where(~F.col("last_day").eqNullSafe(day(ts)))
+    ids = [f"_key{i}" for i in range(len(keys))]
+    by = [F.col(k).alias(i) for k, i in zip(keys, ids, strict=True)]
+    firsts = rows.groupBy(*by, day(ts).alias("_day")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    firsts = firsts.withColumn("last_day", F.lag("_day").over(_over(ids, ["_day"]))).where(~F.col("last_day").eqNullSafe(F.col("_day")))
+    return firsts.select("_row.*", "last_day")
 
 
 def unique_and_new(rows: DataFrame, user: str, ts: str, order: list[str]) -> DataFrame:
@@ -62,7 +68,8 @@ def home_and_detail(rows: DataFrame, visitor: str, ts: str, order: list[str], pa
 
 
 def deltas(rows: DataFrame, keys: list[str], measures: list[str], order: list[str], ts: str | None = None, max_gap: int | None = None) -> DataFrame:
-    """Each measure less its last value for the same key, so that sums count a repeated record once, as last seen.
+    """Each measure less its last value for the same key, so that sums count a repeated record once, as last seen. A null
+    measure is zero.
 
     With max_gap (seconds), a record that comes later than that after the one before counts in full. Streams need ts.
     """
@@ -72,19 +79,20 @@ def deltas(rows: DataFrame, keys: list[str], measures: list[str], order: list[st
     far = F.lit(False)
     if max_gap is not None:
         far = F.coalesce(F.timestamp_diff("SECOND", F.lag(ts).over(over), F.col(ts)) > max_gap, F.lit(False))
-    return rows.withColumns({m: F.col(m) - F.when(far, F.lit(0)).otherwise(F.coalesce(F.lag(m).over(over), F.lit(0))) for m in measures})
+    return rows.withColumns({m: or_zero(m) - F.when(far, F.lit(0)).otherwise(or_zero(F.lag(m).over(over))) for m in measures})
 
 
-def repaired_visitors(rows: DataFrame, visitor: str, ts: str, flag: str, order: list[str]) -> DataFrame:
+def repaired_visitors(rows: DataFrame, visitor: str, ts: str, flag: str, order: list[str], timed: bool = True) -> DataFrame:
     """The flag of new visitors, set to '0' where the visitor was there on an earlier day.
 
-    A visitor whose first row is not flagged as new was there the day before at the latest.
+    A visitor whose first row is not flagged as new was there the day before at the latest. On streams `timed` drops late
+    rows and lets windows follow; without it all rows pass.
     """
     if rows.isStreaming:
-        return stream.repaired_visitors(rows, visitor, ts, flag, order)
-    over = _over([visitor], order)
-    new = F.first(flag).over(over).eqNullSafe(F.lit("1"))
-    first = F.first(day(ts)).over(over)
-    first = F.when(new, first).otherwise(F.date_sub(first, 1))
+        return stream.repaired_visitors(rows, visitor, ts, flag, order, timed)
+    began = F.min_by(F.struct(F.col(flag).alias("flag"), day(ts).alias("day")), F.struct(*order)).alias("_began")
+    firsts = rows.groupBy(F.col(visitor).alias("_visitor")).agg(began)
+    joined = rows.join(firsts, F.col(visitor).eqNullSafe(F.col("_visitor")), "left")
+    first = F.when(F.col("_began.flag").eqNullSafe(F.lit("1")), F.col("_began.day")).otherwise(F.date_sub("_began.day", 1))
     seen = (F.col(flag) == "1") & (first < day(ts))
-    return rows.withColumn(flag, F.when(seen, F.lit("0")).otherwise(F.col(flag)))
+    return joined.withColumn(flag, F.when(seen, F.lit("0")).otherwise(F.col(flag))).select(*rows.columns)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import as_json
-from tidemark.operators.cdc import fold
+from tidemark.functions.scalars import as_json, event_time, ms_to_text, seconds_to_ms, text_to_ms
+from tidemark.operators.cdc import fold, latest
 from tidemark.operators.joins import interval_join, lookup
 from tidemark.operators.logs import json_lines
 from tidemark.operators.state import repaired_visitors
@@ -181,6 +181,43 @@ def comment_dim_lookup(t: Tables) -> DataFrame:
     return lookup(rows, dic, "role", "role_name").select("conv_id", "turn", "role", "role_name", "n_chars")
 
 
+@query
+def comment_detail(t: Tables) -> DataFrame:
+    dic = dictionary(t.conversations.select("role").distinct(), "role", F.upper("role"))
+    return dwd.comments(envelopes.comment_records(t.conversations), dic, envelopes.DATABASE)
+
+
+@query
+def payment_detail(t: Tables) -> DataFrame:
+    rows = dwd.payments(envelopes.payment_records(t.events), envelopes.clicked_details(t.events), t.codes(), envelopes.DATABASE)
+    return rows.select("order_detail_id", "order_id", "user_id", "sku_id", "payment_type_code", "payment_type_name", "callback_time", "sku_num", "split_payment_amount", "ts")
+
+
+@query
+def search_keywords(t: Tables) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    came = F.when(k % 3 == 0, "search").when(k % 3 == 1, "home").otherwise("cart")
+    item = F.concat_ws(" ", F.lit("No"), F.col("event_type"), (k % 4).cast("string"))
+    rows = t.events.select("ts", came.alias("last_page_id"), F.when(F.col("event_type") != "error", "keyword").alias("item_type"), F.when(k % 5 != 0, item).alias("item"))
+    return dws.keyword_counts(dws.search_rows(rows), "item", "ts")
+
+
+@query
+def latest_lines(t: Tables) -> DataFrame:
+    return latest(t.lineitem, ["l_orderkey", "l_linenumber"], LINE)
+
+
+@query
+def times_as_text(t: Tables) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = t.events.select("event_id", ms.alias("ms"), F.floor(ms / 1000).alias("s"))
+    text = ms_to_text("ms")
+    return rows.select(
+        "event_id", text.alias("at"), F.unix_millis(event_time("ms")).alias("from_ms"), F.unix_seconds(event_time("s", 0)).alias("from_s"), seconds_to_ms("s").alias("whole_ms"),
+        text_to_ms(text).alias("east_ms"), text_to_ms(F.substring(text, 1, 10), "+00:00").alias("day_ms"),
+    )
+
+
 def _log(t: Tables, name: str) -> DataFrame:
     return dwd.split_log(envelopes.log_lines(t.events))[name]
 
@@ -232,7 +269,7 @@ def _routes(t: Tables, kind: str) -> DataFrame:
 def fact_route(t: Tables) -> DataFrame:
     topic = envelopes.order_records(t.orders).unionByName(envelopes.detail_records(t.lineitem))
     rows = dwd.fact_rows(topic, _routes(t, "dwd"), order="at")
-    return rows.groupBy("sink_table").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("data")["id"]).alias("last_id"))
+    return rows.select("sink_table", F.col("data")["id"].alias("id"), F.col("data")["order_id"].alias("order_id"), "ts")
 
 
 @query

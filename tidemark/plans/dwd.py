@@ -131,11 +131,16 @@ def routed_facts(topic: DataFrame, config: DataFrame, preloaded: DataFrame | Non
     return rows.select(F.col("sink_table").alias("topic"), F.to_json("data").alias("value"))
 
 
-def split_log(lines: DataFrame, repair: bool = True) -> dict[str, DataFrame]:
-    """The log's outputs by name, and `dirty` lines. In batch the flag of new visitors is put right on the way."""
+def repaired_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log records with the flag of new visitors put right, dirty lines). Records of one time follow a hash of their text,
+    which does not travel itself. No stream of records is held back, late ones pass too."""
     log, dirty = logs.parsed(lines)
-    if repair and not log.isStreaming:
-        log = log.withColumns({"mid": F.col("common.mid"), "is_new": F.col("common.is_new"), "at": F.timestamp_millis("ts")})
-        log = repaired_visitors(log, "mid", "at", "is_new", ["at", "raw"])
-        log = log.withColumn("common", F.col("common").withField("is_new", F.col("is_new"))).drop("mid", "is_new", "at")
+    log = log.withColumns({"mid": F.col("common.mid"), "is_new": F.col("common.is_new"), "at": F.timestamp_millis("ts"), "no": F.xxhash64("raw")}).drop("raw")
+    log = repaired_visitors(log, "mid", "at", "is_new", ["at", "no"], timed=False)
+    return log.withColumn("common", F.col("common").withField("is_new", F.col("is_new"))).drop("mid", "is_new", "at", "no"), dirty
+
+
+def split_log(lines: DataFrame) -> dict[str, DataFrame]:
+    """The log's outputs by name, and `dirty` lines."""
+    log, dirty = repaired_log(lines)
     return logs.split(log) | {"dirty": dirty}

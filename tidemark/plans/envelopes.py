@@ -82,6 +82,33 @@ def cart_records(lines: DataFrame) -> DataFrame:
     return envelope(lines, "cart_info", kind, F.col("l_shipdate"), data, F.when(F.col("last").isNotNull(), _map(sku_num=F.col("last"))))
 
 
+def comment_records(conversations: DataFrame) -> DataFrame:
+    """An insert for every turn of a conversation, appraised by its role, one second after the turn before."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 100 + F.col("turn"))
+    ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    data = _map(id=ident, user_id=F.col("conv_id"), sku_id=F.col("turn"), appraise=F.col("role"), comment_txt=F.col("text"))
+    return envelope(conversations, "comment_info", "insert", at, data)
+
+
+def payment_records(events: DataFrame) -> DataFrame:
+    """Purchases as payments that were done, for the one order that a user has here; with event time."""
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) % 5
+    data = _map(user_id=F.col("event_id"), order_id=F.col("user_id"), payment_type=k, callback_time=F.date_format("ts", STAMP), payment_status=F.lit("1602"))
+    rows = envelope(events.where("event_type = 'purchase'"), "payment_info", "update", F.col("ts"), data, _map(payment_status=F.lit("1601")))
+    return rows.withColumn("et", F.timestamp_seconds("ts"))
+
+
+def clicked_details(events: DataFrame) -> DataFrame:
+    """Clicks as order details of the one order that a user has here; with event time."""
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    return events.where("event_type = 'click'").select(
+        text("event_id").alias("id"), text("user_id").alias("order_id"), F.get_json_object("props", "$.k").alias("sku_id"), none.alias("sku_name"), none.alias("province_id"),
+        none.alias("activity_id"), none.alias("activity_rule_id"), none.alias("coupon_id"), F.lit("1").alias("sku_num"), none.alias("split_original_amount"),
+        none.alias("split_activity_amount"), none.alias("split_coupon_amount"), F.floor("value").cast("string").alias("split_total_amount"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("et"),
+    )
+
+
 def log_lines(events: DataFrame) -> DataFrame:
     """One log record as JSON text an event: a page each, starts for signups, errors for errors, a display and k % 3 actions
     for what was seen and clicked. Every event whose id ends in 7 and is divisible by 3 is cut short."""

@@ -95,6 +95,19 @@ ORACLE: dict[str, str] = {
         select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as id, cast(l_orderkey as varchar) as user_id, cast(l_partkey as varchar) as sku_id,
         cast(l_quantity as integer) - coalesce(q, 0) as sku_num, cast(epoch(l_shipdate) as bigint) as ts from e where q is null or cast(l_quantity as integer) > q""",
     "comment_dim_lookup": "select conv_id, turn, role, upper(role) as role_name, length(text) as n_chars from conversations where role is not null",
+    "comment_detail": """select cast(conv_id as varchar) || '-' || cast(turn as varchar) as id, cast(conv_id as varchar) as user_id, cast(turn as varchar) as sku_id, role as appraise, upper(role) as appraise_name,
+        text as comment_txt, 1700000000 + conv_id * 100 + turn as ts from conversations where role is not null""",
+    "payment_detail": f"""select cast(a.event_id as varchar) as order_detail_id, cast(a.user_id as varchar) as order_id, cast(b.event_id as varchar) as user_id, json_extract_string(a.props, '$.k') as sku_id,
+        cast(r_regionkey as varchar) as payment_type_code, r_name as payment_type_name, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as callback_time, '1' as sku_num, cast(cast(floor(a.value) as bigint) as varchar) as split_payment_amount,
+        epoch_us(b.ts) // 1000000 as ts
+        from events a join events b on a.user_id = b.user_id and date_trunc('second', a.ts) >= date_trunc('second', b.ts) - interval 30 minute and date_trunc('second', a.ts) <= date_trunc('second', b.ts) + interval 5 second
+        join region on r_regionkey = coalesce(cast(json_extract_string(b.props, '$.k') as bigint), 0) % 5 where a.event_type = 'click' and b.event_type = 'purchase'""",
+    "search_keywords": f"""with e as (select *, {_K} as k from events),
+        d as (select ts, unnest(regexp_split_to_array(lower('No ' || event_type || ' ' || cast(k % 4 as varchar)), '\\W+')) as keyword from e where k % 3 <> 2 and k % 5 <> 0 and event_type <> 'error')
+        select {_window('ts', 5)}, keyword, count(*) as keyword_count from d where keyword <> '' group by all""",
+    "latest_lines": f"""select * exclude (nth) from (select *, row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(c + ' desc' for c in _LINE.split(', '))}) as nth from lineitem) where nth = 1""",
+    "times_as_text": """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, epoch_us(ts) // 1000 as from_ms, epoch_us(ts) // 1000000 as from_s, epoch_us(ts) // 1000000 * 1000 as whole_ms,
+        epoch_us(ts) // 1000000 * 1000 - 28800000 as east_ms, epoch_us(ts) // 86400000000 * 86400000 as day_ms from events""",
     "log_split_pages": f"""with {_LOG} select 'm' || cast(user_id as varchar) as mid, cast(user_id as varchar) as uid, is_new, 'v' || cast(k % 3 as varchar) as vc, case when event_type = 'view' then 'home' else event_type end as page_id,
         case when k % 2 = 0 then 'search' end as last_page_id, cast(floor(value) as bigint) as during_time, ms as ts from log""",
     "log_split_starts": f"with {_LOG} select 'm' || cast(user_id as varchar) as mid, cast(user_id as varchar) as uid, is_new, 'icon' as start, ms as ts from log where event_type = 'signup'",
@@ -102,7 +115,7 @@ ORACLE: dict[str, str] = {
     "log_split_actions": f"with {_LOG} select 'm' || cast(user_id as varchar) as mid, event_type as action_id, cast(event_id as varchar) as item, 'sku_id' as item_type, ms + 1 as ts from (select *, unnest(range(k % 3)) as i from log where event_type = 'click')",
     "log_split_errors": f"with {_LOG} select 'm' || cast(user_id as varchar) as mid, 'code ' || cast(k as varchar) as err, ms as ts from log where event_type = 'error'",
     "log_split_dirty": """select substr('{"common":{"mid":"m' || cast(user_id as varchar) || '","uid":"', 1, 20) as raw from events where event_id % 10 = 7 and event_id % 3 = 0""",
-    "fact_route": f"with {_TOPIC_COUNTS} select 'dwd_' || tab || '_' || cast(n as varchar) as sink_table, count(*) as n, max(id) as last_id from records join active using (tab) where type = 'insert' group by all",
+    "fact_route": f"with {_TOPIC_COUNTS} select 'dwd_' || tab || '_' || cast(n as varchar) as sink_table, id, order_id, cast(ts as bigint) as ts from records join active using (tab) where type = 'insert'",
     "dim_filter": f"with {_TOPIC_COUNTS} select 'dim_' || tab || '_' || cast(n as varchar) as sink_table, id as row_key, type, order_id, cast(ts as bigint) as ts from records join active using (tab)",
     "dim_upsert": """with r as (select *, max(case when event_type = 'error' then {'t': ts, 'e': event_id} end) over (partition by user_id) as gone from events)
         select user_id, arg_max(event_id, {'t': ts, 'e': event_id}) filter (event_type = 'click') as last_click, arg_max(props, {'t': ts, 'e': event_id}) filter (event_type = 'view' and props is not null) as last_view

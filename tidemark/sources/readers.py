@@ -46,9 +46,11 @@ def page_log(rows: DataFrame, delay: str = "5 seconds") -> DataFrame:
 
 
 def config_changes(rows: DataFrame, schema: str) -> DataFrame:
-    """op and the configuration's columns from change JSON: the row before for deletions, else the row after."""
+    """op, the configuration's columns and `at` from change JSON: the row before for deletions, else the row after. Changes
+    come in the order of `at`, their time in milliseconds (zero where the record has none)."""
     parsed = typed_json(rows, schema)
-    return parsed.select("op", F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")).alias("c")).select("op", "c.*")
+    row = F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")).alias("c")
+    return parsed.select("op", row, F.coalesce("ts_ms", F.lit(0)).alias("at")).select("op", "c.*", "at")
 
 
 def jdbc_snapshot(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """The twenty-one jobs: what each reads, what it makes of it, and the kind of sink it writes to.
 
 build(topics, dims) takes DataFrames of text (column value) by topic name and static DataFrames by dimension name, and gives
-the output rows. The same function serves batch frames. start() wires a job to its source and sink.
+the output rows. The same function serves batch frames. start() wires a job to its source and sink, start_config() keeps the
+table of a configuration from its changes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.scalars import event_time
 from tidemark.functions.schemas import CART_ADD, DIM_CONFIG, FACT_CONFIG, LOG, ORDER_DETAIL
 from tidemark.operators import logs
+from tidemark.operators.cdc import active_config
 from tidemark.plans import dim, dwd, dws
 from tidemark.sources import readers
 from tidemark.streaming import sinks
@@ -136,33 +138,86 @@ def fact_config(lines: DataFrame) -> DataFrame:
     return readers.config_changes(lines, FACT_CONFIG)
 
 
-def start(name: str, spark: SparkSession, places: dict[str, str], dims: Frames, out: str, checkpoint: str, fmt: str = "text", sink_fmt: str = "text", dim_columns: dict[str, list[str]] | None = None, available_now: bool = False, **options: str) -> list[StreamingQuery]:
-    """Starts a job on its topics (places: topic -> Kafka topic or folder). Dimensions are read anew by each micro-batch."""
+#: How each configuration is read, and what it is keyed by.
+CONFIGS: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]] = {
+    "dim_config": (dim_config, ("source_table",)),
+    "fact_config": (fact_config, ("source_table", "source_type")),
+}
+
+
+def start_config(name: str, spark: SparkSession, place: str, out: str, checkpoint: str, fmt: str = "text", available_now: bool = False, database: str = "default", **options: str) -> StreamingQuery:
+    """Keeps the last change of each configuration key in a table at `out`, deletions as such; changes of dimensions also
+    create and drop the catalog's tables. start() takes `lambda: sinks.read_table(spark, out)` as a live configuration."""
+    parse, keys = CONFIGS[name]
+    rows = parse(readers.strings(spark, place, stream=True, fmt=fmt, **options))
+    keep, tables = sinks.upsert(out, list(keys), ["at"], buckets=1), sinks.sync_tables(database=database)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keep(batch, batch_id)
+        if name == "dim_config":
+            tables(batch, batch_id)
+
+    writer = sinks.each_batch(rows, write, checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start(name: str, spark: SparkSession, places: dict[str, str], dims: Frames | dict[str, Callable[[], DataFrame]], out: str, checkpoint: str, fmt: str = "text", sink_fmt: str = "text", dim_columns: dict[str, list[str]] | None = None, available_now: bool = False, **options: str) -> list[StreamingQuery]:
+    """Starts a job on its topics (places: topic -> Kafka topic or folder). A dimension or configuration given as a function
+    is read anew by each micro-batch, in jobs that route records by it. The log is split in one pass, beside its dirty lines."""
     job = JOBS[name]
     topics = {t: readers.strings(spark, places[t], stream=True, fmt=fmt, **options) for t in job.topics}
+    if job.sink in ("dim", "routed"):
+        write = _routing(job, dims, out, sink_fmt, dim_columns)
+        writer = sinks.each_batch(topics[job.topics[0]], write, f"{checkpoint}/{name}")
+        return [(writer.trigger(availableNow=True) if available_now else writer).start()]
+    if job.sink == "topics":
+        log, dirty = dwd.repaired_log(topics[job.topics[0]])
+        place = lambda part: part if sink_fmt == "kafka" else f"{out}/{part}"
+        parts = {p: sinks.text_batches(place(p), sink_fmt) for p in ("page", "start", "err", "display", "action")}
+        split = lambda batch: {k: logs.json_lines(v) for k, v in logs.split(batch).items()}
+        writers = [
+            sinks.each_batch(log, sinks.fan_out(parts, split), f"{checkpoint}/log"),
+            sinks.strings(dirty.withColumnRenamed("raw", "value"), place("dirty"), f"{checkpoint}/dirty", sink_fmt),
+        ]
+        return [(w.trigger(availableNow=True) if available_now else w).start() for w in writers]
     made = job.build(topics, dims)
     made = made if isinstance(made, dict) else {name: made}
     writers = []
     for part, rows in made.items():
         mark = f"{checkpoint}/{part}"
-        if job.sink == "topics":
-            writers.append(sinks.strings(rows, f"{out}/{part}" if sink_fmt != "kafka" else part, mark, sink_fmt))
-        elif job.sink == "routed":
-            writers.append(sinks.routed(rows, out, mark, sink_fmt))
-        elif job.sink == "upsert":
+        if job.sink == "upsert":
             writers.append(sinks.each_batch(rows, sinks.upsert(out, list(job.keys), ["ts"]), mark))
-        elif job.sink == "dim":
-            writers.append(sinks.each_batch(rows, _dim_writer(out, dim_columns or {}), mark))
         else:
             writers.append(sinks.each_batch(rows, sinks.json_lines(out), mark))
     return [(w.trigger(availableNow=True) if available_now else w).start() for w in writers]
 
 
-def _dim_writer(out: str, columns: dict[str, list[str]]) -> Callable[[DataFrame, int], None]:
+def _routing(job: Job, dims: dict, out: str, fmt: str, columns: dict[str, list[str]] | None) -> Callable[[DataFrame, int], None]:
+    """Routes a batch's records by the configuration as it is now, to topics or to dimension tables."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        for table, names in columns.items():
-            rows = batch.where(F.col("sink_table") == table)
-            wide = rows.select("row_key", "type", "ts", *[F.try_element_at("data", F.lit(c)).alias(c) for c in names])
-            sinks.dim_upsert(f"{out}/{table}", ["row_key"], ["ts"], names)(wide, batch_id)
+        now = {k: v() if callable(v) else v for k, v in dims.items()}
+        batch.persist()
+        try:
+            rows = job.build({job.topics[0]: batch}, now)
+            if job.sink == "routed":
+                sinks.routed_batches(out, fmt)(rows, batch_id)
+            else:
+                _write_dims(rows, out, columns or _dim_columns(now["dim_config"]), batch_id)
+        finally:
+            batch.unpersist()
 
     return write
+
+
+def _dim_columns(config: DataFrame) -> dict[str, list[str]]:
+    """The columns of each dimension table in force; configurations are few."""
+    rows = active_config(_config(config), ["source_table"], "at").select("sink_table", "sink_columns").collect()
+    return {r["sink_table"]: [c.strip() for c in (r["sink_columns"] or "").split(",") if c.strip()] for r in rows}
+
+
+def _write_dims(changes: DataFrame, out: str, columns: dict[str, list[str]], batch_id: int) -> None:
+    for table, names in columns.items():
+        rows = changes.where(F.col("sink_table") == table)
+        wide = rows.select("row_key", "type", "ts", *[F.try_element_at("data", F.lit(c)).alias(c) for c in names])
+        sinks.dim_upsert(f"{out}/{table}", ["row_key"], ["ts"], names)(wide, batch_id)

@@ -37,6 +37,32 @@ def json_lines(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def text_batches(where: str, fmt: str = "text") -> Callable[[DataFrame, int], None]:
+    """Column value to a Kafka topic, or to text files in a folder for each batch that a repeated batch replaces."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if fmt == "kafka":
+            batch.select("value").write.format("kafka").option("topic", where).save()
+        else:
+            batch.select("value").write.mode("overwrite").format(fmt).save(f"{where}/batch={batch_id}")
+
+    return write
+
+
+def routed_batches(where: str, fmt: str = "text") -> Callable[[DataFrame, int], None]:
+    """Column value to the topic that each row names, as routed() does; a repeated batch replaces its files."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("topic", "value")
+        if fmt == "kafka":
+            rows.write.format("kafka").save()
+        else:
+            rows = rows.withColumn("batch", F.lit(batch_id))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("topic", "batch").format(fmt).save(where)
+
+    return write
+
+
 def _bucket(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
@@ -108,13 +134,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def sync_tables(columns: str = "row_key string", database: str = "default", fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
     """Creates and drops the catalog's dimension tables as configuration changes (op, sink_table, sink_columns) say: r and c
-    create a table if there is none, d drops it, u drops and creates it anew. Changes are few, and are met in order."""
+    create a table if there is none, d drops it, u drops and creates it anew. Changes are few, and are met in the order of
+    `at` if they have it."""
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        for row in batch.collect():
-            name = f"`{database}`.`{row['sink_table']}`"
-            fields = ", ".join([columns, *[f"`{c.strip()}` string" for c in (row["sink_columns"] or "").split(",") if c.strip()]])
+        for row in (batch.orderBy("at") if "at" in batch.columns else batch).collect():
+            name = f"{quoted(database)}.{quoted(row['sink_table'])}"
+            fields = ", ".join([columns, *[f"{quoted(c.strip())} string" for c in (row["sink_columns"] or "").split(",") if c.strip()]])
             if row["op"] in ("d", "u"):
                 spark.sql(f"drop table if exists {name}")
             if row["op"] != "d":

@@ -1,14 +1,15 @@
-"""Streaming forms of the keyed states. Rows of a key are met in event order within a batch; a state keeps what the batch
-form finds with lag() or first(). All run in event-time mode, so windows may follow."""
+"""Streaming forms of the keyed states. Rows of a key are met in event order within a batch, nulls first; a state keeps what
+the batch form finds in earlier rows. All run in event-time mode, so windows may follow, unless they are asked not to."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DateType, DecimalType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, DecimalType, DoubleType, FloatType, StringType, StructField, StructType
 
 
 class _Ordered(StatefulProcessor):
@@ -22,7 +23,7 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timer_values: Any) -> Iterator[Row]:
         last = self._state.get() if self._state.exists() else None
-        for row in sorted(rows, key=lambda r: tuple(r[c] for c in self._order)):
+        for row in sorted(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in self._order)):
             out, last = self.step(row, last)
             if out is not None:
                 yield Row(**{c: out[c] for c in self._schema.names})
@@ -50,7 +51,7 @@ class FirstOfDay(_Ordered):
 
 
 class Deltas(_Ordered):
-    """Measures less those stored, or in full where the stored row is more than max_gap seconds older."""
+    """Measures less those stored, or in full where the stored row is more than max_gap seconds older; nulls are zero."""
 
     def __init__(self, schema: StructType, order: list[str], measures: list[str], ts: str | None, max_gap: int | None):
         fields = [StructField(m, schema[m].dataType) for m in measures]
@@ -58,12 +59,13 @@ class Deltas(_Ordered):
             fields.append(StructField("at", DoubleType()))
         super().__init__(schema, order, StructType(fields))
         self._measures, self._ts, self._gap = measures, ts, max_gap
+        self._zero = {m: Decimal(0) if isinstance(schema[m].dataType, DecimalType) else 0.0 if isinstance(schema[m].dataType, (DoubleType, FloatType)) else 0 for m in measures}
 
     def step(self, row, last):
         if last and self._gap is not None and row[self._ts].timestamp() - last[-1] > self._gap:
             last = None
-        now = tuple(row[m] for m in self._measures)
-        less = {m: v - (last[i] if last and last[i] is not None else 0) if v is not None else None for i, (m, v) in enumerate(zip(self._measures, now, strict=True))}
+        now = tuple(self._zero[m] if row[m] is None else row[m] for m in self._measures)
+        less = {m: v - (last[i] if last and last[i] is not None else 0) for i, (m, v) in enumerate(zip(self._measures, now, strict=True))}
         return row.asDict() | less, (*now, row[self._ts].timestamp()) if self._gap is not None else now
 
 
@@ -82,7 +84,9 @@ class RepairedVisitors(_Ordered):
         return row.asDict() | ({self._flag: "0"} if new and first < day else {}), (first,)
 
 
-def _run(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: StructType, ts: str) -> DataFrame:
+def _run(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: StructType, ts: str | None) -> DataFrame:
+    if ts is None:
+        return rows.groupBy(*keys).transformWithState(processor, schema, "Append", "None")
     return rows.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime", eventTimeColumnName=ts)
 
 
@@ -97,9 +101,9 @@ def deltas(rows: DataFrame, keys: list[str], measures: list[str], order: list[st
     return _run(rows, keys, Deltas(schema, order, measures, ts, max_gap), schema, ts)
 
 
-def repaired_visitors(rows: DataFrame, visitor: str, ts: str, flag: str, order: list[str]) -> DataFrame:
+def repaired_visitors(rows: DataFrame, visitor: str, ts: str, flag: str, order: list[str], timed: bool = True) -> DataFrame:
     fields = [StructField(f.name, StringType() if f.name == flag else f.dataType) for f in rows.schema.fields]
-    return _run(rows, [visitor], RepairedVisitors(StructType(fields), order, ts, flag), StructType(fields), ts)
+    return _run(rows, [visitor], RepairedVisitors(StructType(fields), order, ts, flag), StructType(fields), ts if timed else None)
 
 
 def use_rocksdb(spark) -> None:
