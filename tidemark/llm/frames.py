@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir, which all executors share. Without one a local session takes a temporary folder;
+    on a cluster that would be another one on each machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,23 +47,6 @@ def placed(df: DataFrame, column: str) -> DataFrame:
     return rows
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read again, with the shuffle files of finished jobs."""
-    for rows in tables:
-        spark = rows.sparkSession
-        place = spark._jvm.org.apache.hadoop.fs.Path(rows._stored_at)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    release(tables[0].sparkSession)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs, which it does once nothing in the driver refers to them."""
-    for _ in range(2):  # the cleaner works beside us, and what it unlinks may free more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def keyed(df: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
     """_k (unique long) and the columns `keep`. The key is the id where it is unique and never null; otherwise a number in
     the order of ids (null ones last, rows of one id by a hash) that is given once to the stored rows, so that repeated
@@ -74,10 +60,10 @@ def keyed(df: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals out the rows of a table in fewer files than there are cores, which would leave most of them idle; all other
-    frames stay as they are."""
+    """Deals out rows that come in fewer partitions than there are cores, which would leave most of them idle. Rows and
+    their values stay the same, in another order."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
 
 
 def exact(id_col: str) -> Column:

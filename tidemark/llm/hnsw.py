@@ -11,17 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import stored
+from tidemark.llm.frames import many, stored
 
 #: Vectors of a shard on average, queries of a block.
 SHARD, BLOCK = 4096, 512
 
 
 class Graph:
-    """vectors (n, d) float32; layer l has the nodes of level l and above, with at most `width` neighbours (twice as many
+    """vectors (n, d); layer l has the nodes of level l and above, with at most `width` neighbours (twice as many
     on layer 0) in row i of links[l], -1 where there are fewer."""
 
     def __init__(self, vectors: np.ndarray, width: int = 12, seed: int = 1):
@@ -137,14 +138,17 @@ def _distinct(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, shard: int = SHARD, keep: int = 11) -> DataFrame:
-    """One stored row for each shard: dim, shard, the graph's arrays, vectors and ids. vectors: id, embedding (usable)."""
+    """One stored row for each shard: dim, shard, the graph's arrays, vectors and ids. vectors: id, embedding (usable).
+
+    Shards are dealt by a hash of the vector. There are some partitions more than shards, so that each shard is built by a
+    task of its own as a rule."""
     nodes = stored(_distinct(vectors, keep))
     shards = max(1, -(-nodes.count() // shard))
     nodes = nodes.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda c: c.map(lambda x: x[0]))
-        exact = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
+        exact = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         graph = Graph.build(exact)
         ids = np.concatenate(pdf["ids"].to_numpy()).astype("<i8")
         sizes = pdf["ids"].map(len).to_numpy().astype("<i4")
@@ -156,38 +160,72 @@ def build_index(vectors: DataFrame, shard: int = SHARD, keep: int = 11) -> DataF
         )
 
     kind = "dim int, shard int, entry int, vectors binary, links array<binary>, widths array<int>, ids binary, sizes binary"
-    return stored(nodes.groupBy("dim", "shard").applyInPandas(run, kind))
+    dealt = nodes.repartition(_parts(nodes, shards), "dim", "shard")
+    return stored(dealt.groupBy("dim", "shard").applyInPandas(run, kind))
+
+
+def _parts(rows: DataFrame, shards: int) -> int:
+    """Partitions for so many shards: four for each while they are few, which keeps most from meeting in one."""
+    return max(many(rows.sparkSession), min(4 * shards, 1024))
+
+
+def _blocks(queries: DataFrame) -> DataFrame:
+    """dim, ids, vectors: queries of one dimension, packed, at most BLOCK in a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, same in pdf.groupby(pdf["embedding"].map(len)):
+                for at in range(0, len(same), BLOCK):
+                    part = same.iloc[at : at + BLOCK]
+                    vectors = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                    yield pd.DataFrame({"dim": [dim], "ids": [part["id"].to_numpy("<i8").tobytes()], "vectors": [vectors.tobytes()]})
+
+    return queries.select("id", "embedding").mapInPandas(run, "dim int, ids binary, vectors binary")
+
+
+class Shard:
+    """A stored shard, ready to be searched."""
+
+    def __init__(self, row: dict):
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+        links = [np.frombuffer(x, np.int32).reshape(len(self.vectors), w) for x, w in zip(row["links"], row["widths"], strict=True)]
+        self.graph = Graph.from_arrays(self.vectors, row["entry"], links)
+        self.ids, self.ends = np.frombuffer(row["ids"], "<i8"), np.cumsum(np.frombuffer(row["sizes"], "<i4"))
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+
+    def nearest(self, query: int, to: np.ndarray, k: int, effort: int) -> list[tuple[int, int, float]]:
+        nodes = self.graph.nearest(to, k + 1, effort)
+        gap = self.vectors[nodes] - to
+        score = np.sqrt((gap * gap).sum(1)).tolist()
+        each = sorted((d, i) for d, node in zip(score, nodes, strict=True) for i in self.ids[self.starts[node] : self.ends[node]].tolist() if i != query)
+        return [(query, i, d) for d, i in each[:k]]
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 10, effort: int = 96) -> DataFrame:
     """query_id, vec_id, score: from each shard of the query's dimension the k nearest others that its graph finds, with
-    distances in double precision. queries: id, embedding (usable). Every shard meets the queries in blocks."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    asked = queries.withColumns({"dim": F.size("embedding"), "block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")})
-    asked = asked.join(index.select("dim", F.col("shard").alias("of")), "dim")
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        row = right.iloc[0]
-        vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
-        links = [np.frombuffer(x, np.int32).reshape(len(vectors), w) for x, w in zip(row["links"], row["widths"], strict=True)]
-        graph = Graph.from_arrays(vectors, int(row["entry"]), links)
-        ids, ends = np.frombuffer(row["ids"], "<i8"), np.cumsum(np.frombuffer(row["sizes"], "<i4"))
-        starts = np.concatenate([[0], ends[:-1]])
-        out = []
-        for query, to in zip(left["id"], left["embedding"], strict=True):
-            to = np.asarray(to, np.float32)
-            nodes = graph.nearest(to, k + 1, effort)
-            gap = vectors[nodes].astype(np.float64) - to.astype(np.float64)
-            score = np.sqrt((gap * gap).sum(1))
-            each = sorted((d, i) for d, node in zip(score.tolist(), nodes, strict=True) for i in ids[starts[node] : ends[node]].tolist() if i != query)
-            out += [(query, i, d) for d, i in each[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    pairs = asked.groupBy("dim", "of", "block").cogroup(graphs.groupBy("dim", "shard", "block"))
-    return pairs.applyInPandas(run, "query_id long, vec_id long, score double")
+    distances in double precision. queries: id, embedding (usable).
+
+    A shard is sent once, to the task that searches it; the queries stream past it in blocks behind it. Each shard meets
+    each block, a stated set of queries against all rows; no task holds more than one shard and one block."""
+    shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
+    asked = _blocks(queries).join(shards, "dim").select("dim", F.explode("shards").alias("shard"), "ids", "vectors", F.lit(1).alias("turn"))
+    both = index.withColumn("turn", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    both = both.repartition(_parts(index, index.count()), "dim", "shard").sortWithinPartitions("dim", "shard", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["turn"] == 0:
+                    shard = Shard(row)
+                    continue
+                ids, vectors = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+                out = [x for query, to in zip(ids.tolist(), vectors, strict=True) for x in shard.nearest(query, to, k, effort)]
+                columns = list(zip(*out, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    return both.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
@@ -195,9 +233,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SH
     the smaller id. vectors, queries: id, embedding.
 
     Vectors that are null, zero or hold null or non-finite components take no part; nor do null ids. Vectors of different
-    lengths are never compared. Rows that repeat an id with the same vector are one; empty tables give no rows.
+    lengths are never compared. Rows that repeat an id with the same vector are one; other columns are not looked at; empty
+    tables give no rows. Scores are computed from the vectors as they are, in double precision.
     """
-    clean = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("id").isNotNull() & usable(F.col("embedding"))).distinct()
+    clean = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("id").isNotNull() & usable(F.col("embedding"))).distinct()
     index = build_index(clean(vectors), shard, k + 1)
     found = search(stored(clean(queries)), index, k)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import exact, numbered, spread, stored
 
 UNKNOWN = "und"
-#: Buckets of hashed byte pairs and triples, labelled documents of each language to learn from at most.
-BUCKETS, SAMPLE = 1 << 15, 1000
+#: Buckets of hashed byte pairs and triples, labelled documents of each language to learn from at most, languages at most
+#: (those with the most labelled documents): bounds on the model and on what is learned from.
+BUCKETS, SAMPLE, LANGUAGES = 1 << 15, 1000, 200
 _CHUNK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 #: Lower-case bytes: ASCII letters and all bytes of other characters stay, the rest becomes space.
@@ -102,13 +103,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from at most `sample` labelled texts a language, those of the smallest hashes of doc_id.
+def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+    """Learns from at most `sample` labelled texts a language, those of the smallest hashes of doc_id, and of the `languages`
+    with the most labelled texts. How far each classifier is trusted with a language is measured on every fifth text, by
+    classifiers that were learned from the others.
 
     docs: doc_id, text, lang; rows without text or lang teach nothing.
     """
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)))
@@ -116,31 +120,32 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     bound = F.create_map(*[F.lit(v) for lang in langs for v in (lang, 2.0 * sample / sizes[lang] + 50.0 / sizes[lang])])
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     few = known.where(draw < bound[F.col("lang")]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample)
-    few = stored(few.select("text", "lang"))
+    few = stored(few.select("text", "lang", (F.col("rank") % 5 == 0).alias("apart")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[tuple[str, bool], np.ndarray] = {}
         for pdf in batches:
-            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-                total = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            for text, lang, apart in zip(pdf["text"], pdf["lang"], pdf["apart"], strict=True):
+                total = seen.setdefault((lang, apart), np.zeros(BUCKETS, np.int64))
                 for idx in grams(text):
                     total += np.bincount(idx, minlength=BUCKETS)
-        for lang, total in seen.items():
+        for (lang, apart), total in seen.items():
             some = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "bucket": some.astype(np.int32), "n": total[some]})
+            yield pd.DataFrame({"lang": lang, "apart": apart, "bucket": some.astype(np.int32), "n": total[some]})
 
-    parts = few.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[parts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), parts["bucket"].to_numpy(int)] = parts["n"].to_numpy(float)
-    model = Model(langs, counts)
+    kind = "lang string, apart boolean, bucket int, n long"
+    parts = few.mapInPandas(count, kind).groupBy("lang", "apart", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((2, len(langs), BUCKETS))
+    counts[parts["apart"].to_numpy(int), parts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), parts["bucket"].to_numpy(int)] = parts["n"].to_numpy(float)
+    model, other = Model(langs, counts.sum(0)), Model(langs, counts[0])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = pdf["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)
-            f = np.array([margins(t, model.weights) for t in pdf["text"]]).reshape(len(pdf), -1)
+            f = np.array([margins(t, other.weights) for t in pdf["text"]]).reshape(len(pdf), -1)
             yield pd.DataFrame({"lang": at, "right": list((f * model.code[at] > 0).astype(float))})
 
-    seen = few.mapInPandas(judge, "lang int, right array<double>").select("lang", F.posexplode("right").alias("bit", "right"))
+    seen = few.where("apart").mapInPandas(judge, "lang int, right array<double>").select("lang", F.posexplode("right").alias("bit", "right"))
     marks = seen.groupBy("lang", "bit").agg(F.avg("right").alias("right")).collect()
     right = np.full(model.code.shape, 0.5)
     for r in marks:
@@ -173,7 +178,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 1.2) -> DataFrame:
     """The rows of docs whose language can be told: not `und`, not strange() to all learned languages, and not both
-    ambiguous and of a score below `least` times the score of a guess."""
+    ambiguous and of a score below `least` times the score of a guess.
+
+    Null texts and those without a letter go; without labelled rows all do. Null and repeated ids are rows like others; all
+    columns are kept; an empty table gives no rows."""
     model = fit(docs.where(~held_out()))
     least /= max(1, len(model.langs))
 

@@ -18,8 +18,8 @@ from tidemark.llm.frames import exact, numbered, spread, stored
 LENGTH, END = 2048, 1
 #: Documents of a group on average: enough to fill bins well, and few enough for any task.
 GROUP = 4096
-#: Distinct words whose ids a task remembers, a bound on its memory.
-_REMEMBERED = 250_000
+#: Distinct words whose ids a task remembers, and characters of the longest of them: a bound on its memory.
+_REMEMBERED, _BRIEF = 250_000, 100
 #: Fixed value: the pattern in the tokenizer file that cuts lower-case text into words.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin-1 characters on which Python and the tokenizer might disagree about white space.
@@ -59,13 +59,17 @@ class Ids(dict):
             if len(self._pieces) >= _REMEMBERED:
                 self._pieces.clear()
             spelled = piece.encode().decode("latin-1").translate(self._letters)
-            ids = self._pieces[piece] = np.array([t.id for t in self._model.tokenize(spelled)], "<u4").tobytes()
+            ids = np.array([t.id for t in self._model.tokenize(spelled)], "<u4").tobytes()
+            if len(piece) <= _BRIEF:
+                self._pieces[piece] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _REMEMBERED:
             self.clear()
-        ids = self[word] = b"".join(map(self._piece, _PIECES.findall(word)))
+        ids = b"".join(map(self._piece, _PIECES.findall(word)))
+        if len(word) <= _BRIEF:
+            self[word] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:

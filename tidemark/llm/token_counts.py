@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import exact, numbered, spread
 
-#: Distinct words whose counts a task remembers, a bound on its memory.
-_REMEMBERED = 300_000
+#: Distinct words whose counts a task remembers, and bytes of the longest of them: a bound on its memory.
+_REMEMBERED, _BRIEF = 300_000, 100
 
 
 class LongestMatch(dict):
@@ -82,7 +82,9 @@ class LongestMatch(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _REMEMBERED:
             self.clear()
-        self[word] = n = self.count(self._prefix + word)
+        n = self.count(self._prefix + word)
+        if len(word) <= _BRIEF:
+            self[word] = n
         return n
 
 
