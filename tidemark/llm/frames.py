@@ -60,9 +60,11 @@ def keyed(df: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals out rows that come in fewer partitions than there are cores, which would leave most of them idle. Rows and
-    their values stay the same, in another order."""
+    """Deals out rows that are read in fewer partitions than there are cores, which would leave most of them idle; frames
+    that shuffle rows stay as they are. Rows and their values stay the same, in another order."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().toString().startswith("Adaptive"):
+        return df
     return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
 
 
