@@ -74,6 +74,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -85,6 +103,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_contextual_pii": op11_contextual_pii,
+    "op12_collocations": op12_collocations,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
@@ -135,4 +156,51 @@ ORACLE: dict[str, str] = {
                row_number() over (partition by url_key order by timestamp, page_id) as capture
         from p join keys using (page_id) left join f on p.html = f.html and p.payload_bytes >= 100
     """,
+    "op12_collocations": """
+        with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) as piece from d),
+        w as (select row_number() over () as id, lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as words from p),
+        e as (select id, lang, unnest(words) as one, unnest(range(len(words))) as i from w),
+        n3 as (select lang, one, lead(one) over v as two, lead(one, 2) over v as three from e window v as (partition by id order by i)),
+        g as (
+            select lang, 1 as k, one as phrase from n3 union all select lang, 2, one || ' ' || two from n3 where two is not null
+            union all select lang, 3, one || ' ' || two || ' ' || three from n3 where three is not null
+        ),
+        f as (select lang, k, phrase, count(*) as f from g group by all),
+        c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as words from f where k > 1 and f >= 10),
+        inner_ as (select lang, array_to_string(words[i:i + 1], ' ') as phrase, max(a) as most from c, unnest(range(1, 3)) as r(i) where k = 3 group by all),
+        kept as (select c.* from c left join inner_ i on c.k = 2 and i.lang = c.lang and i.phrase = c.phrase where i.most is null or 100 * i.most < 50 * c.a),
+        parts as (select lang || chr(10) || phrase as id, f from f where f >= 10),
+        cuts as (select lang, phrase, k, a, cut, array_to_string(words[1:cut], ' ') as one, array_to_string(words[cut + 1:], ' ') as two from kept, unnest(range(1, k)) as r(cut)),
+        scored as (
+            select u.lang, u.phrase, u.a, u.cut, x.f as l, y.f as r, cast(1000000::hugeint * u.a * u.a // (x.f::hugeint * y.f) as bigint) as score
+            from cuts u join parts x on x.id = u.lang || chr(10) || u.one join parts y on y.id = u.lang || chr(10) || u.two
+        ),
+        weakest as (select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as nth from scored) where nth = 1),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from weakest),
+        n as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by all)
+        select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+    """,
+    "op13_filter_audit": """
+        with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+        w as (select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from d),
+        b as (
+            select doc_id, part, (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::int
+                + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as bits from w
+        ),
+        m as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by all),
+        c as (select part, bits, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from b left join m using (doc_id) group by all),
+        x as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as v),
+        orders as (
+            select a.f || b.f || c.f || d.f || e.f as filter_order, [a.v, b.v, c.v, d.v, e.v] as v from x a, x b, x c, x d, x e
+            where a.v + b.v + c.v + d.v + e.v = 31 and len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5
+        ),
+        steps as (select filter_order, cast(step as integer) as step, v[step] as own, cast(coalesce(list_sum(v[1:step - 1]), 0) as integer) as earlier from orders, unnest(range(1, 6)) as s(step))
+        select part, filter_order, step,
+               cast(coalesce(sum(n) filter (bits & (own | earlier) = 0), 0) as bigint) as kept, cast(coalesce(sum(n) filter (bits & own <> 0 and bits & earlier = 0), 0) as bigint) as removed,
+               cast(coalesce(sum(n) filter (bits & own <> 0 and bits & earlier <> 0), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (bits = own), 0) as bigint) as unique_fails,
+               cast(coalesce(sum(good) filter (bits & own <> 0 and bits & earlier = 0), 0) as bigint) as good_lost, cast(coalesce(sum(toxic) filter (bits & own <> 0 and bits & earlier = 0), 0) as bigint) as toxic_lost,
+               cast(coalesce(sum(n * 120 // greatest(bit_count(bits), 1)) filter (bits & own <> 0), 0) as bigint) as shapley
+        from c, steps group by all
+    """,
 }
