@@ -11,7 +11,7 @@ from tidemark.llm.queries import ORACLE, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     frame, want = QUERIES[name](spark, sf), con.sql(ORACLE[name])
     columns = sorted(frame.columns)
@@ -24,4 +24,4 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
