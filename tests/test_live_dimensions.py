@@ -1,0 +1,160 @@
+"""Jobs whose dimensions change while they run: new, changed and late keys."""
+
+import json
+
+import pytest
+
+from tidemark.streaming.jobs import start
+from tidemark.streaming.sinks import dim_upsert, read_table, upsert
+from tidemark.streaming.state import use_rocksdb
+
+T = 1_700_000_000
+
+
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def put(folder, n, lines):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{n}.txt").write_text("\n".join(json.dumps(x) for x in lines))
+
+
+def change(table, kind, ts, data, old=None):
+    return {"database": "shop", "table": table, "type": kind, "ts": ts, "data": data, "old": old}
+
+
+class Dictionary:
+    def __init__(self, spark, path):
+        self.spark, self.path, self.n = spark, path, 0
+
+    def __call__(self):
+        rows = read_table(self.spark, self.path)
+        return rows.selectExpr("dic_code", "named_struct('dic_name', dic_name) as info")
+
+    def put(self, **names):
+        rows = [(k.strip("_"), "insert", self.n, v) for k, v in names.items()]
+        dim_upsert(self.path, ["dic_code"], ["ts"], ["dic_name"])(self.spark.createDataFrame(rows, "dic_code string, type string, ts long, dic_name string"), self.n)
+        self.n += 1
+
+
+def comment(i, code, ts=T):
+    return change("comment_info", "insert", ts, {"id": i, "user_id": "u", "sku_id": "s", "appraise": code, "comment_txt": "t"})
+
+
+def test_comments_with_new_changed_and_late_codes(spark, tmp_path):
+    dic = Dictionary(spark, str(tmp_path / "dic"))
+    dic.put(_1="good")
+
+    def run():
+        for q in start("comments", spark, {"topic_db": str(tmp_path / "db")}, {"dic": dic}, str(tmp_path / "out"), str(tmp_path / "marks"), available_now=True):
+            q.awaitTermination()
+        return {r["id"]: r["appraise_name"] for r in read_table(spark, str(tmp_path / "out")).collect()}
+
+    put(tmp_path / "db", 0, [comment("a", "1"), comment("b", "2"), comment("n", None)])
+    assert run() == {"a": "good"}
+    put(tmp_path / "db", 1, [comment("c", "1")])
+    assert run() == {"a": "good", "c": "good"}
+    dic.put(_2="late", _1="better")
+    put(tmp_path / "db", 2, [comment("d", "1"), comment("e", "3")])
+    assert run() == {"a": "good", "c": "good", "d": "better", "b": "late"}
+    dic.put(_3="new")
+    put(tmp_path / "db", 3, [comment("f", "2")])
+    assert run() == {"a": "good", "c": "good", "d": "better", "b": "late", "e": "new", "f": "late"}
+
+
+def test_a_batch_that_comes_again_finds_what_waited(spark, tmp_path):
+    from tidemark.streaming.jobs import JOBS, _naming
+
+    dic, out = Dictionary(spark, str(tmp_path / "dic")), {}
+    dic.put(_1="one")
+    write = lambda rows, n: out.__setitem__(n, sorted(r["id"] for r in rows.collect()))
+    named = _naming(JOBS["comments"], {"dic": dic}, write, str(tmp_path / "waiting"), 3)
+    kind = "id string, user_id string, sku_id string, appraise string, comment_txt string, ts long"
+    batch = lambda *rows: spark.createDataFrame([(i, "u", "s", c, "t", 1) for i, c in rows], kind)
+    named(batch(("a", "1"), ("b", "2")), 0)
+    named(batch(("c", "2")), 1)
+    assert out == {0: ["a"], 1: []}
+    dic.put(_2="two")
+    for _ in range(2):
+        named(batch(("d", "1")), 2)
+        assert out[2] == ["b", "c", "d"]
+    named(batch(), 3)
+    assert out[3] == []
+
+
+def test_refunds_wait_for_both_of_their_codes(spark, tmp_path):
+    dic = Dictionary(spark, str(tmp_path / "dic"))
+    dic.put(_1="one")
+
+    def refund(i, reason, ts):
+        data = {"id": f"r{i}", "user_id": "u", "order_id": f"o{i}", "sku_id": "s", "refund_type": "1", "refund_num": "1", "refund_amount": "2", "refund_reason_type": reason, "create_time": "2023-11-14 22:13:20"}
+        order = {"id": f"o{i}", "user_id": "u", "province_id": "p", "order_status": "1005"}
+        return [change("order_refund_info", "insert", ts, data), change("order_info", "update", ts, order, {"order_status": "1002"})]
+
+    def run(n, lines):
+        put(tmp_path / "db", n, lines)
+        for q in start("refunds", spark, {"topic_db": str(tmp_path / "db")}, {"dic": dic}, str(tmp_path / "out"), str(tmp_path / "marks"), available_now=True):
+            q.awaitTermination()
+        return {r["id"]: (r["refund_type_name"], r["refund_reason_type_name"]) for r in read_table(spark, str(tmp_path / "out")).collect()}
+
+    assert run(0, refund(1, "1", T) + refund(2, "2", T)) == {"r1": ("one", "one")}
+    dic.put(_2="two")
+    assert run(1, refund(3, "1", T + 1)) == {"r1": ("one", "one"), "r2": ("one", "two"), "r3": ("one", "one")}
+
+
+@pytest.mark.parametrize("arrives", [True, False])
+def test_sku_sums_wait_a_while_for_their_names(spark, tmp_path, arrives):
+    use_rocksdb(spark)
+    skus = str(tmp_path / "sku")
+    kind = "id string, sku_name string, spu_id string, tm_id string, category3_id string, ts long"
+    keep = upsert(skus, ["id"], ["ts"])
+    keep(spark.createDataFrame([("s1", "shoe", "q", "t", "k3", 0)], kind), 0)
+    frame = lambda row, names: spark.createDataFrame([row], names)
+    dims = {
+        "sku": lambda: read_table(spark, skus), "spu": frame(("q", "line"), "id string, spu_name string"), "trademark": frame(("t", "brand"), "id string, tm_name string"),
+        "category3": frame(("k3", "three", "k2"), "id string, name string, category2_id string"), "category2": frame(("k2", "two", "k1"), "id string, name string, category1_id string"),
+        "category1": frame(("k1", "one"), "id string, name string"),
+    }
+    detail = lambda i, sku, ts: {"id": i, "order_id": "o", "user_id": "u", "sku_id": sku, "split_total_amount": "7.00", "split_original_amount": "8.00", "ts": ts}
+
+    def run(n, lines):
+        put(tmp_path / "in", n, lines)
+        for q in start("sku_orders", spark, {"order_detail": str(tmp_path / "in")}, dims, str(tmp_path / "out"), str(tmp_path / "marks"), available_now=True):
+            q.awaitTermination()
+        rows = spark.read.option("basePath", str(tmp_path / "out")).schema("sku_id string, sku_name string, category1_name string, order_amount double").json(str(tmp_path / "out")).collect()
+        return sorted((r["sku_id"], r["sku_name"], r["category1_name"], r["order_amount"]) for r in rows if r["sku_id"] != "s0")
+
+    run(0, [detail("a", "s1", T), detail("a", "s1", T + 1), detail("b", "s2", T)])
+    assert run(1, [detail("x", "s1", T + 1000)]) == [("s1", "shoe", "one", 7.0)]
+    if arrives:
+        keep(spark.createDataFrame([("s2", "boot", "q", "t", "k3", 1), ("s1", "clog", "q", "t", "k3", 1)], kind), 1)
+    got = [run(2 + n, [detail(f"y{n}", "s0", T + 2000 + 1000 * n)]) for n in range(3)][-1]
+    late = ("s2", "boot", "one", 7.0) if arrives else ("s2", None, None, 7.0)
+    assert got == [("s1", "clog" if arrives else "shoe", "one", 7.0), ("s1", "shoe", "one", 7.0), late]
+
+
+def test_refund_sums_meet_brands_as_they_are(spark, tmp_path):
+    use_rocksdb(spark)
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    brands = {"s1": "t1", "s2": "t1", "s3": "t1"}
+    sku = lambda: frame([(k, v, "k3") for k, v in brands.items()], "id string, tm_id string, category3_id string")
+    dims = {
+        "sku": sku, "trademark": frame([("t1", "brand"), ("t2", "other")], "id string, tm_name string"), "category3": frame([("k3", "three", "k2")], "id string, name string, category2_id string"),
+        "category2": frame([("k2", "two", "k1")], "id string, name string, category1_id string"), "category1": frame([("k1", "one")], "id string, name string"),
+    }
+    row = lambda order, sku, ts: {"order_id": order, "user_id": "u", "sku_id": sku, "ts": ts}
+
+    def run(n, lines):
+        put(tmp_path / "in", n, lines)
+        for q in start("refund_sums", spark, {"order_refund": str(tmp_path / "in")}, dims, str(tmp_path / "out"), str(tmp_path / "marks"), available_now=True):
+            q.awaitTermination()
+
+    run(0, [row("o1", "s1", T), row("o1", "s2", T), row("o2", "s3", T), row("o2", "s3", T + 1)])
+    brands["s3"] = "t2"
+    run(1, [row("o9", "s1", T + 1000)])
+    rows = spark.read.option("basePath", str(tmp_path / "out")).json(str(tmp_path / "out")).collect()
+    assert sorted((r["trademark_name"], r["refund_count"]) for r in rows) == [("brand", 1), ("other", 1)]

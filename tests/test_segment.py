@@ -1,0 +1,65 @@
+"""Keywords by dictionary against all paths of the lattice, and default words of any script."""
+
+import random
+from datetime import datetime
+
+from tidemark.functions.segment import Lexicon, segmenter
+
+
+def paths(run, words):
+    if not run:
+        return [[]]
+    out = [[run[0], *rest] for rest in paths(run[1:], words)]
+    return out + [[run[:n], *rest] for n in range(2, len(run) + 1) if run[:n] in words for rest in paths(run[n:], words)]
+
+
+def rank(path, words):
+    return sum(w not in words for w in path), len(path), sum(len(w) ** 2 for w in path), -sum(i * len(w) for i, w in enumerate(path))
+
+
+def test_best_path_of_all():
+    rng = random.Random(1)
+    for _ in range(300):
+        words = {"".join(rng.choices("研究生命起", k=rng.randint(1, 4))) for _ in range(6)}
+        run = "".join(rng.choices("研究生命起", k=rng.randint(1, 9)))
+        got = Lexicon(words).path(run)
+        assert "".join(got) == run and rank(got, words) == min(rank(p, words) for p in paths(run, words)), (run, words)
+
+
+def test_overlapping_words_and_mixed_scripts():
+    lexicon = Lexicon(["图书", "小米", "小米手机", "手机", "研究", "研究生", "生命", "起源", "Ω"])
+    assert lexicon.words("图书 小米手机") == ["图书", "小米手机"]
+    assert lexicon.words("研究生命起源") == ["研究", "生命", "起源"]
+    assert lexicon.words("买小米Mi-11手机壳，Größe CAFÉ!") == ["买", "小米", "mi", "11", "手机", "壳", "größe", "café"]
+    assert lexicon.words("") == [] and lexicon.words(" ,。") == []
+    assert len(lexicon.words("研究生" * 50_000)) == 50_000
+
+
+def test_keyword_windows_with_a_dictionary(spark):
+    from tidemark.plans.dws import keyword_counts
+
+    words = spark.createDataFrame([("手机",), (None,), ("小米",), ("手机",)], "word string")
+    at = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("小米手机 Größe", at), ("手机", at), (None, at), ("", at)], "item string, at timestamp")
+    got = {r["keyword"]: r["keyword_count"] for r in keyword_counts(rows, "item", "at", splitter=segmenter(spark, words)("item")).collect()}
+    assert got == {"小米": 1, "手机": 2, "größe": 1}
+    plain = {r["keyword"]: r["keyword_count"] for r in keyword_counts(rows, "item", "at").collect()}
+    assert plain == {"小米手机": 1, "手机": 1, "größe": 1}
+
+
+def test_a_dictionary_has_a_bound(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="2 words"):
+        segmenter(spark, spark.createDataFrame([("a",), ("b",), ("c",)], "word string"), most=2)
+
+
+def test_the_job_takes_a_lexicon(spark):
+    import json
+
+    from tidemark.streaming.jobs import JOBS
+
+    page = {"common": {}, "page": {"last_page_id": "search", "item": "小米手机", "item_type": "keyword"}, "ts": 1_700_000_000_000}
+    lines = spark.createDataFrame([(json.dumps(page),)], "value string")
+    words = spark.createDataFrame([("小米",), ("手机",)], "word string")
+    assert sorted(r["keyword"] for r in JOBS["keyword_counts"].build({"page_log": lines}, {"lexicon": words}).collect()) == ["小米", "手机"]

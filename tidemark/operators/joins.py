@@ -48,6 +48,15 @@ def enrich_chain(rows: DataFrame, steps: Sequence[tuple[DataFrame, str, str, dic
     return rows
 
 
+def found_or_missing(rows: DataFrame, steps: Sequence[tuple[DataFrame, str, str, dict[str, str]]]) -> DataFrame:
+    """enrich_chain() with a column `missing`: a key is not null, but has no dimension row."""
+    missing = F.lit(False)
+    for i, (dim, key, dim_key, take) in enumerate(steps):
+        rows = enrich(rows, dim.withColumn("_hit", F.lit(True)), key, dim_key, take | {"_hit": f"_hit{i}"})
+        missing = missing | (F.col(key).isNotNull() & F.col(f"_hit{i}").isNull())
+    return rows.withColumn("missing", missing).drop(*[f"_hit{i}" for i in range(len(steps))])
+
+
 def dim_rows(topic: DataFrame, config: DataFrame, order: str | None = None) -> DataFrame:
     """Change records of the configured dimension tables that carry data, each with its configuration."""
     routes = small(active_config(config, ["source_table"], order))

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from tidemark.functions.schemas import LOG
 
 
-def parsed(rows: DataFrame, value: str = "value", strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(records with the columns of a log and `raw`, dirty text). A strict reader fails on the first dirty record."""
+def parsed(rows: DataFrame, value: str = "value", strict: bool = False, schema: str = LOG) -> tuple[DataFrame, DataFrame]:
+    """(records with the columns of a log, or of another schema, and `raw`, dirty text). Dirty is what is no JSON object; a field of
+    another kind is null. A strict reader fails on the first dirty record.
+
+    Each line is parsed once; only one that does not fit the schema is looked at again, for whether it is an object at all.
+    """
     if strict:
         mode = {"mode": "FAILFAST"}
-        return rows.select(F.from_json(value, LOG, mode).alias("r"), F.col(value).alias("raw")).select("r.*", "raw"), rows.limit(0)
-    both = rows.select(F.from_json(value, LOG).alias("r"), F.col(value).alias("raw"), F.try_parse_json(value).alias("any"))
-    good = F.col("any").isNotNull() & F.coalesce(F.schema_of_variant("any").startswith("OBJECT"), F.lit(False))
-    return both.where(good).select("r.*", "raw"), both.where(~good).select("raw")
+        return rows.select(F.from_json(value, schema, mode).alias("r"), F.col(value).alias("raw")).select("r.*", "raw"), rows.limit(0)
+    odd = {"columnNameOfCorruptRecord": "_odd"}
+    both = rows.select(F.from_json(value, f"{schema}, _odd string", odd).alias("r"), F.col(value).alias("raw"))
+    object_ = F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"), F.lit(False))
+    good = F.when(F.col("r").isNull() | ~F.ltrim("raw").startswith("{"), False).when(F.col("r._odd").isNull(), True).otherwise(object_)
+    return both.where(good).select("r.*", "raw").drop("_odd"), both.where(~good).select("raw")
 
 
 def pages(log: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import as_json, event_time, ms_to_text, seconds_to_ms, text_to_ms
+from tidemark.functions.scalars import as_json, event_time, ms_to_text, seconds_to_ms, text_to_ms, words
+from tidemark.functions.segment import segmenter
 from tidemark.operators.cdc import fold, latest
 from tidemark.operators.joins import interval_join, lookup
 from tidemark.operators.logs import json_lines
@@ -202,6 +203,15 @@ def search_keywords(t: Tables) -> DataFrame:
     return dws.keyword_counts(dws.search_rows(rows), "item", "ts")
 
 
+@query
+def keyword_pieces(t: Tables) -> DataFrame:
+    """Words as if written without spaces between their pieces: the dictionary is the short words of the benchmark."""
+    short = t.benchmark.select(F.explode(words("text")).alias("word")).where("char_length(word) between 2 and 4").distinct()
+    rows = t.conversations.select("text", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 100 + F.col("turn")).alias("at"))
+    split = segmenter(rows.sparkSession, short, unspaced=r"\p{L}\p{M}")
+    return dws.keyword_counts(rows, "text", "at", "1 hour", split("text"))
+
+
 @query
 def latest_lines(t: Tables) -> DataFrame:
     return latest(t.lineitem, ["l_orderkey", "l_linenumber"], LINE)

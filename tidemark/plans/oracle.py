@@ -19,6 +19,8 @@ def _firsts(table: str, user: str, ts: str, tie: str, where: str = "true", more:
 
 _LINE = "l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
 _BACK = f"partition by l_orderkey, l_linenumber order by {_LINE}"
+#: What stands between keywords.
+_GAP = r"[^\p{L}\p{M}\p{N}_]+"
 _K = "cast(json_extract_string(props, '$.k') as bigint)"
 _FIRST_LINE = "line as (select * from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) as nth from lineitem) where nth = 1)"
 _DETAIL_COLUMNS = """
@@ -60,7 +62,7 @@ ORACLE: dict[str, str] = {
     "new_visitor_repair": """with e as (select event_id, user_id, ts, case when event_type in ('signup', 'click') then '1' else '0' end as f from events),
         g as (select *, first_value(f) over w as f1, cast(first_value(ts) over w as date) as d1 from e window w as (partition by user_id order by ts, event_id))
         select event_id, user_id, ts, case when f = '1' and d1 - case when f1 = '1' then 0 else 1 end < cast(ts as date) then '0' else f end as is_new from g""",
-    "keyword_counts": f"""with d as (select make_timestamp((1700000000 + doc_id) * 1000000) as ts, unnest(regexp_split_to_array(lower(text), '\\W+')) as keyword from documents)
+    "keyword_counts": f"""with d as (select make_timestamp((1700000000 + doc_id) * 1000000) as ts, unnest(regexp_split_to_array(lower(text), '{_GAP}')) as keyword from documents)
         select {_window('ts', 5)}, keyword, count(*) as keyword_count from d where keyword <> '' group by all""",
     "sku_orders_chain": f"""with d as (select l_shipdate, l_partkey, l_suppkey,
             cast(l_quantity as decimal(16,2)) - coalesce(lag(cast(l_quantity as decimal(16,2))) over w, 0) as a, cast(l_discount as decimal(16,2)) - coalesce(lag(cast(l_discount as decimal(16,2))) over w, 0) as b,
@@ -103,8 +105,23 @@ ORACLE: dict[str, str] = {
         from events a join events b on a.user_id = b.user_id and date_trunc('second', a.ts) >= date_trunc('second', b.ts) - interval 30 minute and date_trunc('second', a.ts) <= date_trunc('second', b.ts) + interval 5 second
         join region on r_regionkey = coalesce(cast(json_extract_string(b.props, '$.k') as bigint), 0) % 5 where a.event_type = 'click' and b.event_type = 'purchase'""",
     "search_keywords": f"""with e as (select *, {_K} as k from events),
-        d as (select ts, unnest(regexp_split_to_array(lower('No ' || event_type || ' ' || cast(k % 4 as varchar)), '\\W+')) as keyword from e where k % 3 <> 2 and k % 5 <> 0 and event_type <> 'error')
+        d as (select ts, unnest(regexp_split_to_array(lower('No ' || event_type || ' ' || cast(k % 4 as varchar)), '{_GAP}')) as keyword from e where k % 3 <> 2 and k % 5 <> 0 and event_type <> 'error')
         select {_window('ts', 5)}, keyword, count(*) as keyword_count from d where keyword <> '' group by all""",
+    "keyword_pieces": f"""with recursive lex as (select distinct word from (select unnest(regexp_split_to_array(lower(text), '{_GAP}')) as word from benchmark) where length(word) between 2 and 4),
+        t as (select make_timestamp((1700000000 + conv_id * 100 + turn) * 1000000) as ts, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+|[\\p{{N}}_]+')) as run from conversations),
+        runs as (select distinct run, length(run) as n from t where regexp_matches(run, '[\\p{{L}}\\p{{M}}]')),
+        dp as (
+            select run, n, 0 as p, 0 as j, struct_pack(o := 0, w := 0, s := 0, q := 0) as k, []::varchar[] as path from runs
+            union all
+            select run, n, p + 1, j, min(k), arg_min(path, k) from (
+                select run, n, p, j + len as j, path || case when len > 0 then [piece] else [] end as path,
+                       case when len = 0 then k else struct_pack(o := k.o + case when word is null then 1 else 0 end, w := k.w + 1, s := k.s + len * len, q := k.q - k.w * len) end as k
+                from (select *, substr(run, j + 1, len) as piece from (select *, cast(unnest(range(0, 5)) as integer) as len from dp) where (len = 0 and j > p) or (len > 0 and j = p and j + len <= n)) left join lex on word = piece
+                where len <= 1 or word is not null
+            ) group by run, n, p, j
+        ),
+        pieces as (select run, unnest(path) as keyword from dp where p = n and j = n union all select distinct run, run from t where not regexp_matches(run, '[\\p{{L}}\\p{{M}}]'))
+        select {_window('ts', 3600)}, keyword, count(*) as keyword_count from t join pieces using (run) group by all""",
     "latest_lines": f"""select * exclude (nth) from (select *, row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(c + ' desc' for c in _LINE.split(', '))}) as nth from lineitem) where nth = 1""",
     "times_as_text": """select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, epoch_us(ts) // 1000 as from_ms, epoch_us(ts) // 1000000 as from_s, epoch_us(ts) // 1000000 * 1000 as whole_ms,
         epoch_us(ts) // 1000000 * 1000 - 28800000 as east_ms, epoch_us(ts) // 86400000000 * 86400000 as day_ms from events""",

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidemark.operators.cdc import fold, latest
+from tidemark.streaming import store
 
 
 def strings(rows: DataFrame, where: str, checkpoint: str, fmt: str = "text", **options: str) -> DataStreamWriter:
@@ -37,25 +36,36 @@ def json_lines(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def text_batches(where: str, fmt: str = "text") -> Callable[[DataFrame, int], None]:
-    """Column value to a Kafka topic, or to text files in a folder for each batch that a repeated batch replaces."""
+def marked(batch: DataFrame, batch_id: int, writer: str = "") -> DataFrame:
+    """The batch with `headers`, which give each record an id that it gets again when the batch comes again: a hash of writer, batch,
+    topic and value, and how many records of the batch were equal to it. readers.once() drops what has come before by it."""
+    same = ["topic", "value"] if "topic" in batch.columns else ["value"]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    ident = F.sha2(F.to_json(F.struct(F.lit(writer).alias("w"), F.lit(batch_id).alias("b"), *same, nth.alias("n"))), 256)
+    return batch.withColumn("headers", F.array(F.struct(F.lit("id").alias("key"), ident.cast("binary").alias("value"))))
+
+
+def text_batches(where: str, fmt: str = "text", writer: str = "") -> Callable[[DataFrame, int], None]:
+    """Column value to a Kafka topic, whose records are marked(), or to text files in a folder for each batch that a repeated batch
+    replaces."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if fmt == "kafka":
-            batch.select("value").write.format("kafka").option("topic", where).save()
+            marked(batch.select("value"), batch_id, writer).write.format("kafka").option("topic", where).save()
         else:
             batch.select("value").write.mode("overwrite").format(fmt).save(f"{where}/batch={batch_id}")
 
     return write
 
 
-def routed_batches(where: str, fmt: str = "text") -> Callable[[DataFrame, int], None]:
-    """Column value to the topic that each row names, as routed() does; a repeated batch replaces its files."""
+def routed_batches(where: str, fmt: str = "text", writer: str = "") -> Callable[[DataFrame, int], None]:
+    """Column value to the topic that each row names, as routed() does; records of Kafka are marked(), and a repeated batch replaces
+    its files."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("topic", "value")
         if fmt == "kafka":
-            rows.write.format("kafka").save()
+            marked(rows, batch_id, writer).write.format("kafka").save()
         else:
             rows = rows.withColumn("batch", F.lit(batch_id))
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("topic", "batch").format(fmt).save(where)
@@ -63,75 +73,41 @@ def routed_batches(where: str, fmt: str = "text") -> Callable[[DataFrame, int],
     return write
 
 
-def _bucket(keys: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+def upsert(path: str, keys: list[str], order: list[str], files: int | None = None, writer: str = "") -> Callable[[DataFrame, int], None]:
+    """Keeps the last row of each key, by the order columns, in a table (see store); read_table() gives the rows. `files` is the most that
+    a part has. A batch that the writer has given before is left out: queries with checkpoints of their own are other writers."""
+    table = store.Manifest("rows", keys, order, [])
+    return lambda batch, batch_id: store.commit(batch, path, table, writer, batch_id, files)
 
 
-def _replace(merged: DataFrame, path: str) -> None:
-    """Rewrites the buckets that `merged` holds. Rows are staged first, as they come from the table itself; a bucket that
-    has lost all rows keeps one without keys."""
-    spark = merged.sparkSession
-    stage = f"{path}.stage-{uuid.uuid4().hex}"
-    merged.write.partitionBy("bucket").parquet(stage)
-    rows = spark.read.schema(merged.schema).parquet(stage)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(stage)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def dim_upsert(path: str, keys: list[str], order: list[str], columns: list[str], files: int | None = None, writer: str = "") -> Callable[[DataFrame, int], None]:
+    """Applies changes (keys, type, order, columns) to a dimension table: type 'delete' removes a key, anything else writes the
+    columns that are not null. Each column keeps the place of its last change, so that changes may come late and again; deleted
+    keys stay as marks."""
+    table = store.Manifest("changes", keys, order, columns)
+    return lambda batch, batch_id: store.commit(batch, path, table, writer, batch_id, files)
 
 
-def _current(batch: DataFrame, path: str, touched: DataFrame) -> DataFrame | None:
-    spark = batch.sparkSession
-    if not _exists(spark, path):
-        return None
-    return spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
-
-
-def upsert(path: str, keys: list[str], order: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
-    """Keeps the last row of each key, by the order columns, in a table of hash buckets; a batch rewrites only the buckets
-    that its keys fall in. read_table() gives the rows."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("bucket", _bucket(keys, buckets))
-        old = _current(batch, path, rows.select("bucket").distinct())
-        both = rows if old is None else rows.unionByName(old)
-        _replace(latest(both, [*keys, "bucket"], order), path)
-
-    return write
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table as they are now. What is changed later does not show, also not in the middle of a query."""
+    return store.read(spark, path)
 
 
-def dim_upsert(path: str, keys: list[str], order: list[str], columns: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
-    """Applies changes (keys, type, order, columns) to a dimension table: type 'delete' removes a key, anything else
-    writes the columns that are not null. Each row keeps the place of its last change, so that old changes that come
-    again have no effect; deleted keys stay as marks."""
+def sync_stores(root: str, keys: tuple[str, ...] = ("row_key",), order: tuple[str, ...] = ("ts",)) -> Callable[[DataFrame, int], None]:
+    """Makes and drops the dimension tables below `root`, which dim_upsert() writes, as configuration changes (op, sink_table,
+    sink_columns, at) say: r and c make a table if there is none, d drops it with its rows, u puts an empty one in its place.
+    A change that is not later than the last one that was met for a table is left out."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*keys, "type", *order, *columns).withColumn("bucket", _bucket(keys, buckets))
-        old = _current(batch, path, rows.select("bucket").distinct())
-        if old is not None:
-            seen = old.select(*keys, "bucket", *[F.col(c).alias(f"_{c}") for c in order])
-            rows = rows.join(seen, [*keys, "bucket"], "left")
-            newer = F.struct(*order) > F.struct(*[f"_{c}" for c in order])
-            rows = rows.where(F.coalesce(newer, F.lit(True))).drop(*[f"_{c}" for c in order])
-            rows = rows.unionByName(old.withColumn("type", F.when(F.col("gone"), "delete").otherwise("put")).drop("gone"))
-        ids = [*keys, "bucket"]
-        live = fold(rows, ids, order, columns, F.col("type") == "delete")
-        last = latest(rows.select(*ids, "type", *order), ids, order)
-        merged = last.join(live, ids, "left").withColumn("gone", F.col("type") == "delete").drop("type")
-        _replace(merged, path)
+        spark = batch.sparkSession
+        for row in batch.orderBy("at").collect():
+            columns = [c.strip() for c in (row["sink_columns"] or "").split(",") if c.strip()]
+            schema = ", ".join([*(f"{k} string" for k in keys), *(f"{o} bigint" for o in order), *(f"`{c.replace('`', '``')}` string" for c in columns)])
+            store.follow(spark, f"{root}/{row['sink_table']}", row["op"], row["at"], list(keys), columns, list(order), schema)
 
     return write
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.where("not gone").drop("gone", "bucket") if "gone" in rows.columns else rows.drop("bucket")
-
-
 def sync_tables(columns: str = "row_key string", database: str = "default", fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
     """Creates and drops the catalog's dimension tables as configuration changes (op, sink_table, sink_columns) say: r and c
     create a table if there is none, d drops it, u drops and creates it anew. Changes are few, and are met in the order of
