@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.llm import collocations as c
@@ -51,12 +52,34 @@ def corpus(seed, n=200):
     return docs + [("en", None), ("en", ""), ("en", " .\n "), (None, "New york city. " * 40), ("de", "ja " * 3000)] + docs[:20]
 
 
-@pytest.mark.parametrize("trigger", [1, 2, 24])
-def test_same_as_brute_force(spark, monkeypatch, trigger):
-    """Wherever chunks begin, the counts are the same."""
-    monkeypatch.setattr(c, "TRIGGER", trigger)
-    monkeypatch.setattr(c, "LONGEST", 40)
-    docs = corpus(trigger)
+@pytest.mark.parametrize("trigger,longest,held", [(1, 40, 1 << 20), (2, 40, 200), (24, 7, 1 << 20), (24, 4096, 100), (10**9, 3, 50)])
+def test_counts_are_the_same_wherever_chunks_begin(monkeypatch, trigger, longest, held):
+    for name, value in (("TRIGGER", trigger), ("LONGEST", longest), ("_HELD", held)):
+        monkeypatch.setattr(c, name, value)
+    texts = [(text or "").encode() for _, text in corpus(trigger % 97, 80)]
+    chunks = Counter(f for text in texts for f in c.parse(list(c._cut(text)))[1])
+    chunks_at_once = Counter(c.parse([part for text in texts for part in c._cut(text)])[1])
+    assert chunks == chunks_at_once
+    found, freq = list(chunks), np.array(list(chunks.values()))
+    want = {k: Counter() for k in (1, 2, 3)}
+    for text in texts:
+        lower = bytes(x + 32 if 65 <= x <= 90 else x for x in text)
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", lower):
+            words = re.findall(rb"[^\x20\x09]+", piece)
+            for k in want:
+                want[k].update(b" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
+    for k in want:
+        phrases, n = c.phrases_of("en", found, freq, k, lambda lang, ps: np.ones(len(ps), bool))
+        assert len(set(phrases)) == len(phrases) and dict(zip(phrases, n.tolist(), strict=True)) == want[k]
+        often = {p for p, x in want[k - 1].items() if x >= 5} if k > 1 else None
+        phrases, n = c.phrases_of("en", found, freq, k, lambda lang, ps: np.array([p in often for p in ps], bool))
+        kept = {p: x for p, x in want[k].items() if k == 1 or b" ".join(p.split(b" ")[:-1]) in often and b" ".join(p.split(b" ")[1:]) in often}
+        assert dict(zip(phrases, n.tolist(), strict=True)) == kept
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_same_as_brute_force(spark, seed):
+    docs = corpus(seed)
     got = made(spark, docs)
     assert got == brute(docs) and len({r[0] for r in got}) == 4
 
@@ -79,11 +102,18 @@ def test_chunks_tile_the_text():
 
 
 def test_full_bitmap_changes_nothing(spark, monkeypatch):
+    """Of 64 bits, so that most phrases are taken for frequent ones."""
     monkeypatch.setattr(c, "_BITS", (64, 1, 64))
     docs = corpus(9, 60)
     assert made(spark, docs) == brute(docs)
 
 
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(c, "_HELD", 200)
+    text = b"one two. " * 100
+    assert len(list(c._cut(text))) > 5 and b"".join(c._cut(text)) == text and list(c._cut(b"a b" * 500)) == [b"a b" * 500]
+
+
 def test_no_rows(spark):
     assert made(spark, []) == []
 

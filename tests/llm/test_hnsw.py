@@ -46,3 +46,15 @@ def test_odd_vectors_and_copies(spark):
     assert got[100] == [(i, 0.5) for i in range(1, 11)]
     assert set(got) == {5, 20, 100}
     assert nearest(table.limit(0), table).count() == nearest(table, table.limit(0)).count() == 0
+
+
+def test_the_query_itself_with_clashing_columns(spark, tmp_path):
+    """Columns of the table that have the names of the operator's own."""
+    from tidemark.llm.queries import op5_hnsw
+
+    rows = [(i, [float(i), 1.0], -1, 0.5, 7, "x", 3) for i in range(1, 150)] + [(200, None, 1, 1.0, 1, "y", 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id long, score double, rank int, query_id string, shard int")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in op5_hnsw(spark, str(tmp_path)).collect())
+    want = dict(brute([(i, v) for i, v, *_ in rows if v], [(100, [100.0, 1.0])]))[100]
+    assert got == [(100, n, i, d) for n, (i, d) in enumerate(want, 1)]

@@ -84,3 +84,42 @@ def test_languages_are_bounded(spark):
 
     rows = languages(3) + [(1000 + i, "noise", f"x{i}") for i in range(50)]
     assert fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3).langs == ["l00", "l01", "l02"]
+
+
+def mixed(rows, seed=4):
+    """Texts that are half one made language and half another."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(100):
+        a, b = rng.choice(len(rows), 2, replace=False)
+        while rows[a][2] == rows[b][2]:
+            b = rng.integers(len(rows))
+        x, y = rows[a][1].split(), rows[b][1].split()
+        n = min(len(x), len(y))
+        out.append((10_000 + i, " ".join(x[:n] + y[:n]), None))
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 4, 9])
+def test_texts_between_two_languages_are_flagged(spark, n):
+    from tidemark.llm.langid import fit, predict
+
+    rows = languages(n, texts=60)
+    kind = "doc_id long, text string, lang string"
+    model = fit(spark.createDataFrame([r for r in rows if r[0] % 4], kind))
+    said = {r["doc_id"]: r["ambiguous"] for r in predict(spark.createDataFrame(rows + mixed(rows), kind), model).collect()}
+    assert sum(said[10_000 + i] for i in range(100)) >= 90
+    pure = [said[i] for i, _, _ in rows if i % 4 == 0]
+    assert sum(pure) <= 0.05 * len(pure)
+
+
+def test_halves_of_the_given_documents(spark):
+    from tidemark.llm.langid import fit, held_out, predict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out()))
+    rest = [(r["doc_id"], r["text"], r["lang"]) for r in docs.where(held_out()).collect() if len(r["text"].split()) >= 20]
+    halves = mixed(rest)
+    said = {r["doc_id"]: r["ambiguous"] for r in predict(spark.createDataFrame(rest + halves, "doc_id long, text string, lang string"), model).collect()}
+    flagged, pure = sum(said[i] for i, _, _ in halves), sum(said[i] for i, _, _ in rest) / len(rest)
+    assert flagged >= 90 and pure <= 0.05, (flagged, pure)

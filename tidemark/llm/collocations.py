@@ -12,6 +12,7 @@ phrase is counted that would not have had to be; no count depends on it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ _BITS = 1 << 16, 16, 1 << 28
 _HELD = 8 << 20
 #: Capitals become small letters, what ends a piece a line feed, tab a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
+_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 #: Strength of what stands between words: nothing, space, end of a piece, end of a text.
 _GAP = np.zeros(256, np.uint8)
 _GAP[[32, 10, 13]] = 1, 2, 3
@@ -54,6 +56,15 @@ def _held(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(found)
 
 
+def _cut(raw: bytes) -> Iterator[bytes]:
+    """A long text in parts that end where a piece does, which no phrase reaches beyond."""
+    at = 0
+    while len(raw) - at > _HELD and (end := _END.search(raw, at + _HELD // 2)):
+        yield raw[at : end.end()]
+        at = end.end()
+    yield raw[at:]
+
+
 def parse(texts: list[bytes]) -> tuple[list[int], list[bytes]]:
     """(number of the text, chunk) for each chunk. Words stand between single bytes: a space within a piece, a line feed
     after it. The two last words of a chunk are those of the next one, or empty at the end of a text."""
@@ -96,10 +107,22 @@ def parse(texts: list[bytes]) -> tuple[list[int], list[bytes]]:
 def chunks(docs: DataFrame) -> DataFrame:
     """lang, chunk, freq: the dictionary of the parse with the number of times each chunk occurs."""
 
+    def batch_of(langs: list[str], parts: list[bytes]) -> pa.RecordBatch:
+        of, found = parse(parts)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(of, pa.int64())), pa.array(found, pa.binary())], ["lang", "chunk"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _held(batches, "text"):
-            of, found = parse([t.encode() for t in table.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([table.column("lang").combine_chunks().take(pa.array(of, pa.int64())), pa.array(found, pa.binary())], ["lang", "chunk"])
+            langs, parts, size = [], [], 0
+            for lang, text in zip(table.column("lang").to_pylist(), table.column("text").to_pylist(), strict=True):
+                for part in _cut(text.encode()):
+                    langs.append(lang)
+                    parts.append(part)
+                    size += len(part)
+                    if size >= _HELD:
+                        yield batch_of(langs, parts)
+                        langs, parts, size = [], [], 0
+            yield batch_of(langs, parts)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     return spread(rows).mapInArrow(run, "lang string, chunk binary").groupBy("lang", "chunk").agg(F.count(F.lit(1)).alias("freq"))

@@ -2,7 +2,7 @@
 
 Every language has a codeword. For each bit a binary n-gram classifier (log-ratios of hashed byte n-gram counts) says
 on which side a text lies. Decoding takes the codeword of least loss, each bit weighted by how well its classifier
-knows that language, and flags texts for which two codewords are about as near.
+knows that language, and flags texts for which two codewords are about as near, measured on texts that were kept apart.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ UNKNOWN = "und"
 #: Buckets of hashed byte pairs and triples, labelled documents of each language to learn from at most, languages at most
 #: (those with the most labelled documents): bounds on the model and on what is learned from.
 BUCKETS, SAMPLE, LANGUAGES = 1 << 15, 1000, 200
+#: A text is ambiguous if another codeword is nearer than this share of its usual distance for texts of the language.
+NEAR = 0.5
 _CHUNK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 #: Lower-case bytes: ASCII letters and all bytes of other characters stay, the rest becomes space.
@@ -53,13 +55,19 @@ def grams(text: str) -> Iterator[np.ndarray]:
         yield (both[x[np.tile(np.arange(1, len(x) - 1), 2)] != 32] * np.uint32(0x9E3779B1)) >> np.uint32(17)
 
 
-def margins(text: str, weights: np.ndarray) -> np.ndarray:
-    """One number a bit: above zero on the side of +1; grows with the root of the text's length."""
+def evidence(text: str, weights: np.ndarray) -> tuple[np.ndarray, int]:
+    """The sum of the n-grams' log-ratios for each bit, and their number."""
     total, n = np.zeros(weights.shape[1]), 0
     for idx in grams(text):
         total += weights[idx].sum(0, dtype=np.float64)
         n += len(idx)
-    return np.clip(total / np.sqrt(max(n, 1)), -30, 30)
+    return total, max(n, 1)
+
+
+def margins(text: str, weights: np.ndarray) -> np.ndarray:
+    """One number a bit: above zero on the side of +1; grows with the root of the text's length."""
+    total, n = evidence(text, weights)
+    return np.clip(total / np.sqrt(n), -30, 30)
 
 
 class Model:
@@ -76,23 +84,40 @@ class Model:
         each = share / share.sum(1, keepdims=True)
         self.known = np.log(each.max(0) * BUCKETS).astype(np.float32)[:, None] if langs else np.zeros((BUCKETS, 1), np.float32)
         self.trust = np.full(self.code.shape, 1 / self.code.shape[1])
+        self.scale, self.usual = np.ones(self.code.shape[1]), np.zeros(len(langs))
 
     def weigh(self, right: np.ndarray) -> None:
         """right: for each language and bit the share of sample texts on the right side."""
         known = np.clip(right - 0.5, 0.01, None)
         self.trust = known / known.sum(1, keepdims=True)
 
-    def decode(self, text: str | None, gap: float) -> tuple[str, float, bool]:
-        """Language, share of the evidence from 0 to 1, and whether the runner-up is nearer than the gap allows."""
+    def calibrate(self, langs: np.ndarray, each: np.ndarray) -> None:
+        """Learns from texts of known language (langs: numbers, each: evidence() for a single n-gram) how strong each bit usually is
+        and how far off the nearest other codeword usually is."""
+        self.scale = np.maximum(np.median(np.abs(each), 0), 1e-9) if len(each) else self.scale
+        for i in range(len(self.langs)):
+            gaps = [self.apart(x, i) for x in each[langs == i]]
+            self.usual[i] = np.median(gaps) if gaps else 0.0
+
+    def apart(self, each: np.ndarray, lang: int) -> float:
+        """How much farther off the nearest other codeword is, with each bit against its usual strength: the same for short and
+        long texts of one language, about zero for a text that is half another one."""
+        loss = (self.trust * np.clip(1 - self.code * (each / self.scale), 0, 2)).sum(1)
+        others = np.delete(loss, lang)
+        return float(others.min() - loss[lang]) if len(others) else np.inf
+
+    def decode(self, text: str | None, near: float) -> tuple[str, float, bool]:
+        """Language, share of the evidence from 0 to 1, and whether another codeword is nearer than `near` times as far as it usually
+        is for texts of this language."""
         if not self.langs or not isinstance(text, str) or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        f = margins(text, self.weights)
+        total, n = evidence(text, self.weights)
+        f = np.clip(total / np.sqrt(n), -30, 30)
         loss = (self.trust * np.logaddexp(0, -self.code * f)).sum(1) * self.code.shape[1]
         best = int(loss.argmin())
         share = np.exp(loss[best] - loss)
         score = float(1 / share.sum())
-        second = np.delete(loss, best)
-        return self.langs[best], score, bool(len(second) and second.min() - loss[best] < gap)
+        return self.langs[best], score, bool(self.apart(total / n, best) < near * self.usual[best])
 
     def strange(self, text: str) -> bool:
         """Whether no learned language makes the text's n-grams likelier than buckets drawn at random."""
@@ -142,24 +167,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Mo
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = pdf["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)
-            f = np.array([margins(t, other.weights) for t in pdf["text"]]).reshape(len(pdf), -1)
-            yield pd.DataFrame({"lang": at, "right": list((f * model.code[at] > 0).astype(float))})
+            found = [evidence(t, other.weights) for t in pdf["text"]]
+            yield pd.DataFrame({"lang": at, "each": [total / n for total, n in found]})
 
-    seen = few.where("apart").mapInPandas(judge, "lang int, right array<double>").select("lang", F.posexplode("right").alias("bit", "right"))
-    marks = seen.groupBy("lang", "bit").agg(F.avg("right").alias("right")).collect()
+    # as many rows as a fifth of the sample, each of as many numbers as there are bits
+    seen = few.where("apart").mapInPandas(judge, "lang int, each array<double>").toArrow()
+    at, each = seen["lang"].to_numpy(), np.array(seen["each"].to_pylist(), float).reshape(seen.num_rows, model.code.shape[1])
     right = np.full(model.code.shape, 0.5)
-    for r in marks:
-        right[r["lang"], r["bit"]] = r["right"]
+    for i in np.unique(at):
+        right[i] = (each[at == i] * model.code[i] > 0).mean(0)
     model.weigh(right)
+    model.calibrate(at, each)
     return model
 
 
-def predict(docs: DataFrame, model: Model, gap: float = 0.05) -> DataFrame:
+def predict(docs: DataFrame, model: Model, near: float = NEAR) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every row; only the text is looked at."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            said = [model.decode(t, gap) for t in pdf["text"]]
+            said = [model.decode(t, near) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [x[0] for x in said], "score": [x[1] for x in said], "ambiguous": [x[2] for x in said]})
 
     rows = docs.select(exact("doc_id").alias("doc_id"), held_out().alias("held_out"), "text")
@@ -186,7 +213,7 @@ def accepted(docs: DataFrame, least: float = 1.2) -> DataFrame:
     least /= max(1, len(model.langs))
 
     def stays(text: str | None) -> bool:
-        lang, score, ambiguous = model.decode(text, 0.05)
+        lang, score, ambiguous = model.decode(text, NEAR)
         return lang != UNKNOWN and not (ambiguous and score < least) and not model.strange(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
