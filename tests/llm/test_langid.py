@@ -123,3 +123,20 @@ def test_halves_of_the_given_documents(spark):
     said = {r["doc_id"]: r["ambiguous"] for r in predict(spark.createDataFrame(rest + halves, "doc_id long, text string, lang string"), model).collect()}
     flagged, pure = sum(said[i] for i, _, _ in halves), sum(said[i] for i, _, _ in rest) / len(rest)
     assert flagged >= 90 and pure <= 0.05, (flagged, pure)
+
+
+FOREIGN = [
+    "ciao come stai oggi, spero che tutto vada bene e che la famiglia sia in buona salute", "de hond loopt door het park en de kinderen spelen met een bal in de zon",
+    "gallia est omnis divisa in partes tres quarum unam incolunt belgae", "asdf qwer zxcv asdf jkl", "asdf qwer zxcv", '<div class="x"><a href="foo">bar</a></div>', "def f(x): return x+1", "ok",
+    "это текст на языке которого никто не учил", "zxqv bnmk wrtp qqqq xxzz",
+]
+
+
+def test_what_no_language_explains_is_rejected_and_the_given_documents_stay(spark):
+    from tidemark.llm.langid import accepted
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(FOREIGN)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in accepted(docs.unionByName(foreign)).select("doc_id").collect()}
+    assert not [t for i, t in enumerate(FOREIGN) if 10**9 + i in kept]
+    assert len(kept) >= 0.99 * docs.count()

@@ -25,6 +25,9 @@ UNKNOWN = "und"
 BUCKETS, SAMPLE, LANGUAGES = 1 << 15, 1000, 200
 #: A text is ambiguous if another codeword is nearer than this share of its usual distance for texts of the language.
 NEAR = 0.5
+#: A text is strange if its n-grams are less likely in the language than this share of what is usual there; to know what is
+#: usual takes so many texts that were kept apart.
+LIKELY, ENOUGH = 0.4, 5
 _CHUNK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 #: Lower-case bytes: ASCII letters and all bytes of other characters stay, the rest becomes space.
@@ -82,22 +85,26 @@ class Model:
             weights.append(np.log(on / on.sum()) - np.log(off / off.sum()))
         self.weights = np.array(weights, np.float32).T.copy() if langs else np.zeros((BUCKETS, 1), np.float32)
         each = share / share.sum(1, keepdims=True)
-        self.known = np.log(each.max(0) * BUCKETS).astype(np.float32)[:, None] if langs else np.zeros((BUCKETS, 1), np.float32)
+        self.own = np.log(each.T * BUCKETS).astype(np.float32)
+        self.known = self.own.max(1, keepdims=True) if langs else np.zeros((BUCKETS, 1), np.float32)
         self.trust = np.full(self.code.shape, 1 / self.code.shape[1])
         self.scale, self.usual = np.ones(self.code.shape[1]), np.zeros(len(langs))
+        self.likely = np.full(len(langs), -np.inf)
 
     def weigh(self, right: np.ndarray) -> None:
         """right: for each language and bit the share of sample texts on the right side."""
         known = np.clip(right - 0.5, 0.01, None)
         self.trust = known / known.sum(1, keepdims=True)
 
-    def calibrate(self, langs: np.ndarray, each: np.ndarray) -> None:
-        """Learns from texts of known language (langs: numbers, each: evidence() for a single n-gram) how strong each bit usually is
-        and how far off the nearest other codeword usually is."""
+    def calibrate(self, langs: np.ndarray, each: np.ndarray, likely: np.ndarray) -> None:
+        """Learns from texts of known language (langs: numbers, each: evidence() for a single n-gram, likely: likelihood()) how strong
+        each bit usually is, how far off the nearest other codeword and how likely a text."""
         self.scale = np.maximum(np.median(np.abs(each), 0), 1e-9) if len(each) else self.scale
         for i in range(len(self.langs)):
             gaps = [self.apart(x, i) for x in each[langs == i]]
             self.usual[i] = np.median(gaps) if gaps else 0.0
+            if len(gaps) >= ENOUGH:
+                self.likely[i] = np.median(likely[langs == i])
 
     def apart(self, each: np.ndarray, lang: int) -> float:
         """How much farther off the nearest other codeword is, with each bit against its usual strength: the same for short and
@@ -119,9 +126,16 @@ class Model:
         score = float(1 / share.sum())
         return self.langs[best], score, bool(self.apart(total / n, best) < near * self.usual[best])
 
-    def strange(self, text: str) -> bool:
-        """Whether no learned language makes the text's n-grams likelier than buckets drawn at random."""
-        return margins(text, self.known)[0] < 0
+    def likelihood(self, text: str, lang: int) -> float:
+        """How much likelier an n-gram of the text is in a language than a bucket drawn at random, as a mean of logarithms."""
+        total, n = evidence(text, self.own[:, lang : lang + 1])
+        return float(total[0] / n)
+
+    def strange(self, text: str, lang: str) -> bool:
+        """Whether no learned language makes the text's n-grams likelier than buckets drawn at random, or the one that was decoded
+        makes them far less likely than is usual there."""
+        i = self.langs.index(lang)
+        return margins(text, self.known)[0] < 0 or self.likelihood(text, i) < LIKELY * self.likely[i]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -168,16 +182,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Mo
         for pdf in batches:
             at = pdf["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)
             found = [evidence(t, other.weights) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": at, "each": [total / n for total, n in found]})
+            likely = [other.likelihood(t, i) for t, i in zip(pdf["text"], at, strict=True)]
+            yield pd.DataFrame({"lang": at, "each": [total / n for total, n in found], "likely": likely})
 
     # as many rows as a fifth of the sample, each of as many numbers as there are bits
-    seen = few.where("apart").mapInPandas(judge, "lang int, each array<double>").toArrow()
+    seen = few.where("apart").mapInPandas(judge, "lang int, each array<double>, likely double").toArrow()
     at, each = seen["lang"].to_numpy(), np.array(seen["each"].to_pylist(), float).reshape(seen.num_rows, model.code.shape[1])
     right = np.full(model.code.shape, 0.5)
     for i in np.unique(at):
         right[i] = (each[at == i] * model.code[i] > 0).mean(0)
     model.weigh(right)
-    model.calibrate(at, each)
+    model.calibrate(at, each, seen["likely"].to_numpy())
     return model
 
 
@@ -204,7 +219,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 1.2) -> DataFrame:
-    """The rows of docs whose language can be told: not `und`, not strange() to all learned languages, and not both
+    """The rows of docs whose language can be told: not `und`, not strange() to the learned languages, and not both
     ambiguous and of a score below `least` times the score of a guess.
 
     Null texts and those without a letter go; without labelled rows all do. Null and repeated ids are rows like others; all
@@ -214,7 +229,7 @@ def accepted(docs: DataFrame, least: float = 1.2) -> DataFrame:
 
     def stays(text: str | None) -> bool:
         lang, score, ambiguous = model.decode(text, NEAR)
-        return lang != UNKNOWN and not (ambiguous and score < least) and not model.strange(text)
+        return lang != UNKNOWN and not (ambiguous and score < least) and not model.strange(text, lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
