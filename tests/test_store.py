@@ -40,6 +40,30 @@ def test_a_crash_leaves_the_old_version_whole(spark, tmp_path, monkeypatch):
     assert ("d", "w") in rows_of(spark, path, "k", "v")
 
 
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    """While one batch is written, another writer commits, and one that empties the table."""
+    path = str(tmp_path / "t")
+    one, two = upsert(path, ["k"], ["ts"], writer="one"), upsert(path, ["k"], ["ts"], writer="two")
+    one(spark.createDataFrame([(str(i), 0, "old") for i in range(50)], KIND), 0)
+    whole, told = store._switch, []
+
+    def meet(*a):
+        if not told:
+            told.append(1)
+            two(spark.createDataFrame([("b", 1, "two"), ("c", 1, "two")], KIND), 0)
+        whole(*a)
+
+    monkeypatch.setattr(store, "_switch", meet)
+    one(spark.createDataFrame([("a", 1, "one"), ("c", 2, "one")], KIND), 1)
+    monkeypatch.undo()
+    assert rows_of(spark, path, "k", "v")[-3:] == [("a", "one"), ("b", "two"), ("c", "one")] and read_table(spark, path).count() == 53
+    for n in range(2, 8):
+        one(spark.createDataFrame([("a", n, f"v{n}")], KIND), n)
+    used = {p.path for name in store._versions(spark, path) for p in store._load(spark, path, name).parts}
+    assert used == {f"parts/{p.name}" for p in Path(path, "parts").iterdir()}
+    assert ("a", "v7") in rows_of(spark, path, "k", "v")
+
+
 def test_what_is_written_follows_the_batch(spark, tmp_path):
     path = str(tmp_path / "t")
     write = upsert(path, ["k"], ["ts"], 1)

@@ -62,12 +62,16 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
 
 
-def manifest(spark: SparkSession, path: str) -> Manifest | None:
-    """The version in force; none if there never was a table."""
-    versions = sorted(n for n in _names(spark, f"{path}/_versions") if n.endswith(".json"))
-    if not versions:
-        return None
-    fs, place = _fs(spark, f"{path}/_versions/{versions[-1]}")
+class Conflict(RuntimeError):
+    """Another writer has made the version that was to be made."""
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return sorted(n for n in _names(spark, f"{path}/_versions") if n.endswith(".json"))
+
+
+def _load(spark: SparkSession, path: str, name: str) -> Manifest:
+    fs, place = _fs(spark, f"{path}/_versions/{name}")
     stream = fs.open(place)
     try:
         found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -76,8 +80,15 @@ def manifest(spark: SparkSession, path: str) -> Manifest | None:
     return Manifest(**found | {"parts": [Part(**p) for p in found["parts"]]})
 
 
+def manifest(spark: SparkSession, path: str) -> Manifest | None:
+    """The version in force; none if there never was a table."""
+    versions = _versions(spark, path)
+    return _load(spark, path, versions[-1]) if versions else None
+
+
 def _switch(spark: SparkSession, path: str, new: Manifest) -> None:
-    """Puts a version in force, in one step: its file takes its name only when it is whole."""
+    """Puts a version in force, in one step: its file takes its name only when it is whole. Needs a file system that renames in
+    one step."""
     name = f"{path}/_versions/{new.version:012d}.json"
     fs, place = _fs(spark, name)
     _, temporary = _fs(spark, f"{path}/_versions/.{uuid.uuid4().hex}")
@@ -85,24 +96,20 @@ def _switch(spark: SparkSession, path: str, new: Manifest) -> None:
     out.write(bytearray(json.dumps(asdict(new)).encode()))
     out.close()
     if fs.exists(place) or not fs.rename(temporary, place):
-        raise RuntimeError(f"another writer has made version {new.version} of {path}")
-    _forget(spark, path, new)
-
-
-def _forget(spark: SparkSession, path: str, new: Manifest) -> None:
-    """Deletes versions that are KEPT behind, and parts that none of the others names."""
-    versions = sorted(n for n in _names(spark, f"{path}/_versions") if n.endswith(".json"))
+        fs.delete(temporary, False)
+        raise Conflict(f"version {new.version} of {path}")
+    _forget(spark, path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Deletes versions that are KEPT behind, and the parts that only they name. Parts that no version names, as writers that are at
+    work or were killed leave them, stay."""
+    versions = _versions(spark, path)
+    parts = lambda names: {p.path for n in names for p in _load(spark, path, n).parts}
+    for part in parts(versions[:-KEPT]) - parts(versions[-KEPT:]):
+        delete(spark, f"{path}/{part}")
     for name in versions[:-KEPT]:
         delete(spark, f"{path}/_versions/{name}")
-    used = set()
-    for name in versions[-KEPT:]:
-        fs, place = _fs(spark, f"{path}/_versions/{name}")
-        stream = fs.open(place)
-        used |= {p["path"] for p in json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["parts"]}
-        stream.close()
-    for name in _names(spark, f"{path}/parts"):
-        if f"parts/{name}" not in used:
-            delete(spark, f"{path}/parts/{name}")
 
 
 def create(spark: SparkSession, path: str, keys: list[str], columns: list[str], order: list[str], schema: str, kind: str = "changes", anew: bool = False, since: int = -1) -> None:
@@ -162,21 +169,37 @@ def _write(rows: DataFrame, path: str, table: Manifest, files: int | None) -> Pa
     return Part(part, rows.sparkSession.read.schema(merged.schema).parquet(f"{path}/{part}").count())
 
 
-def commit(batch: DataFrame, path: str, table: Manifest, writer: str, batch_id: int, files: int | None = None) -> None:
+def commit(batch: DataFrame, path: str, table: Manifest, writer: str, batch_id: int, files: int | None = None, tries: int = 5) -> None:
     """Adds a batch to the table, which is made if there is none. A batch that the same writer has added before is left out, and
-    so is one for a table that was dropped. A restart finds the table as it was before the batch, or as it is after it."""
+    so is one for a table that was dropped. A restart finds the table as it was before the batch, or as it is after it. Where
+    another writer has changed the table meanwhile, the part is added to what there is now."""
     spark = batch.sparkSession
-    now = manifest(spark, path)
-    if now is not None and (now.dropped or now.batches.get(writer, -1) >= batch_id):
-        return
-    now = now or replace(table, version=-1)
+    own: Part | None = None
     rows = _folded(batch, table)
-    parts = [*now.parts, _write(rows, path, table, files)]
-    while len(parts) > 1 and parts[-2].rows <= 2 * parts[-1].rows:
-        both = _read_parts(spark, path, parts[-2:], rows)
-        parts = [*parts[:-2], _write(both, path, table, files)]
-    new = replace(now, version=now.version + 1, columns=table.columns, parts=parts, batches=now.batches | {writer: batch_id})
-    _switch(spark, path, new)
+    while True:
+        now = manifest(spark, path)
+        if now is not None and (now.dropped or now.batches.get(writer, -1) >= batch_id):
+            return
+        now = now or replace(table, version=-1)
+        own = own or _write(rows, path, table, files)
+        parts, between = [*now.parts, own], []
+        while len(parts) > 1 and parts[-2].rows <= 2 * parts[-1].rows:
+            between += [p for p in parts[-2:] if p not in now.parts and p != own]
+            parts = [*parts[:-2], _write(_read_parts(spark, path, parts[-2:], rows), path, table, files)]
+        try:
+            _switch(spark, path, replace(now, version=now.version + 1, columns=table.columns, parts=parts, batches=now.batches | {writer: batch_id}))
+        except Conflict:
+            tries -= 1
+            if not tries:
+                raise
+            between += [p for p in parts if p not in now.parts and p != own]
+            continue
+        finally:
+            for part in between:
+                delete(spark, f"{path}/{part.path}")
+        if own not in parts:
+            delete(spark, f"{path}/{own.path}")
+        return
 
 
 def _read_parts(spark: SparkSession, path: str, parts: list[Part], like: DataFrame | None = None) -> DataFrame:
