@@ -35,6 +35,25 @@ def test_overlapping_words_and_mixed_scripts():
     assert len(lexicon.words("研究生" * 50_000)) == 50_000
 
 
+def test_equal_paths_as_in_the_sql():
+    """Paths that are equal in all that is asked for: the SQL leaves them open, on one thread it takes the shorter last word."""
+    import duckdb
+
+    from tidemark.plans.catalog import ORACLE
+
+    assert Lexicon(["abc", "ef", "ab", "cde"]).path("abcdef") == ["ab", "cde", "f"]
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abc", k=rng.randint(2, 4))) for _ in range(40)}
+    runs = {"".join(rng.choices("abcd", k=rng.randint(4, 16))) for _ in range(3000)}
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("create table benchmark as select $1 as text", [" ".join(sorted(words))])
+    con.execute("create table conversations as select unnest($1) as text, 1 as conv_id, 1 as turn", [sorted(runs)])
+    sql = ORACLE["keyword_pieces"]
+    found = con.sql(sql[: sql.index("pieces as (")].rstrip(" \n,") + " select run, path from dp where p = n and j = n").fetchall()
+    lexicon = Lexicon(words)
+    assert {run: lexicon.path(run) for run in runs} == dict(found)
+
+
 def test_keyword_windows_with_a_dictionary(spark):
     from tidemark.plans.dws import keyword_counts
 
