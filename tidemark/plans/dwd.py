@@ -92,9 +92,12 @@ def order_details(topic: DataFrame, database: str | None = None, within: str | N
     `within` has passed; see corrected_order_details()."""
     extra = _extra(topic) if within else ("ts",)
     detail, order, activity, coupon = _detail_parts(topic, database, extra)
-    rows = _join(detail, order, {"order_id": "oid"}, within=within)
-    rows = _join(rows, activity, {"id": "order_detail_id"}, "left", within)
+    if within:
+        detail = _join(detail, order, {"order_id": "oid"}, within=within)
+    rows = _join(detail, activity, {"id": "order_detail_id"}, "left", within)
     rows = _join(rows, coupon, {"id": "order_detail_id"}, "left", within)
+    if not within:  # last, so that rows lie by their order when what follows joins on it too
+        rows = _join(rows, order, {"order_id": "oid"})
     return _detail_facts(rows, extra)
 
 
