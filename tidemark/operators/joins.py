@@ -59,8 +59,15 @@ def found_or_missing(rows: DataFrame, steps: Sequence[tuple[DataFrame, str, str,
 
 def dim_rows(topic: DataFrame, config: DataFrame, order: str | None = None) -> DataFrame:
     """Change records of the configured dimension tables that carry data, each with its configuration."""
-    routes = small(active_config(config, ["source_table"], order))
-    rows = topic.where(F.size("data") > 0)
+    routes = active_config(config, ["source_table"], order)
+    rows = topic
+    if not (topic.isStreaming or routes.isStreaming):
+        names = [r[0] for r in routes.select("source_table").limit(SMALL + 1).collect()]
+        if len(names) <= SMALL:  # records of other tables go before their data is looked at
+            rows, routes = rows.where(F.col("table").isin(names)), F.broadcast(routes)
+    else:
+        routes = small(routes)
+    rows = rows.where(F.size("data") > 0)
     return rows.join(routes, rows["table"] == routes["source_table"])
 
 
@@ -79,7 +86,8 @@ def only_columns(data: str | Column, names: str | Column) -> Column:
     """The elements of a map that a comma-separated list names."""
     c = F.col(data) if isinstance(data, str) else data
     n = F.col(names) if isinstance(names, str) else names
-    return F.map_filter(c, lambda k, _: F.array_contains(F.split(n, r"\s*,\s*"), k))
+    # the list is split once a row, not once an element
+    return F.transform(F.array(F.split(n, r"\s*,\s*")), lambda few: F.map_filter(c, lambda k, _: F.array_contains(few, k)))[0]
 
 
 def keywords(rows: DataFrame, text: str, splitter: Column | None = None) -> DataFrame:
