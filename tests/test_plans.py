@@ -40,3 +40,11 @@ def test_listed_columns_with_spaces(spark):
 
     rows = spark.sql("select map('a', '1', 'b', '2', 'c', '3') as m, 'a , c' as n union all select null, 'a'")
     assert sorted(str(r[0]) for r in rows.select(only_columns("m", "n")).collect()) == ["None", str({"a": "1", "c": "3"})]
+
+
+def test_words_are_cut_without_a_lambda(spark):
+    from tidemark.functions.scalars import words
+
+    rows = spark.createDataFrame([(",, Über  x_1 — ",), ("",), (" ., ",), (None,)], "t string").select(words("t").alias("w"))
+    assert [r["w"] for r in rows.collect()] == [["über", "x_1"], [], [], None]
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -71,5 +71,7 @@ def as_json(*columns: str | Column) -> Column:
 def words(text: str | Column, splitter: Column | None = None) -> Column:
     """Array of words: runs of letters, marks and digits of any script. Any expression that gives an array of text can take
     the place of the default splitter, as functions.segment does for scripts without spaces."""
-    parts = splitter if splitter is not None else F.split(F.lower(col(text)), r"[^\p{L}\p{M}\p{N}_]+")
-    return F.filter(parts, lambda w: w != "")
+    if splitter is not None:
+        return F.filter(splitter, lambda w: w != "")
+    # array_remove is compiled, a filter by a lambda is not
+    return F.array_remove(F.split(F.lower(col(text)), r"[^\p{L}\p{M}\p{N}_]++"), "")
